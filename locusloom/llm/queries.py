@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leaks import find_leaks, leaked_items
 from .quantiles import merge_summaries, percentiles, summarize
 from .topn import top_n
 
@@ -48,7 +49,21 @@ def p5_top_loci(spark: SparkSession, d: str) -> DataFrame:
     return _top_loci(spark, d).withColumn("place", F.row_number().over(order))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share twelve consecutive words, or a whole shorter item."""
+    return _leaks(spark, d).filter("distance = 0").select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items that leaked, also with one word changed, and into how many documents."""
+    return leaked_items(_leaks(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items)}
 
 _P5 = """
 with r as (
