@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .leaks import find_leaks, leaked_items
 from .quantiles import merge_summaries, percentiles, summarize
+from .residue import find_residue, without_residue
 from .topn import top_n
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -63,7 +64,18 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_leaks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with template residue, filler, error pages or script notices."""
+    return find_residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without residue."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    return without_residue(docs, find_residue(docs)).select("doc_id", "source", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items, p8_found, p8_kept)}
 
 _P5 = """
 with r as (
