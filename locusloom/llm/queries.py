@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .leaks import find_leaks, leaked_items
+from .mixture import Mixture
 from .quantiles import merge_summaries, percentiles, summarize
 from .residue import find_residue, without_residue
 from .topn import top_n
@@ -75,7 +76,31 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(docs, find_residue(docs)).select("doc_id", "source", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items, p8_found, p8_kept)}
+#: Ranks file of the public tokenizer that measures sizes.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Chatty sources fade, long and edited ones come in.
+CURRICULUM = {
+    "forum": [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)],
+    "thesis_excerpts": [(0.0, 0.25), (0.6, 1.0), (1.0, 2.0)],
+    "press_notes": [(0.0, 2.0), (1.0, 0.0)],
+}
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER, schedules=CURRICULUM)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in training order, with their position and use number."""
+    return _mixture(spark, d).rows
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached against targets."""
+    return _mixture(spark, d).report()
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kept)}
 
 _P5 = """
 with r as (
