@@ -155,7 +155,8 @@ class Mixture:
         weights = [(r.source, float(r.w or 0), int(r.m or 0)) for r in given]
         wanted = spark.createDataFrame([(k,) for k in keys.values()], "key string")
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key("source").alias("key"), "text")
-        used = docs.join(wanted, "key", "left_semi").filter("doc_id is not null and text is not null and text != ''")
+        used = docs.join(F.broadcast(wanted), "key", "left_semi")  # at most MAX_SOURCES rows
+        used = used.filter("doc_id is not null and text is not null and text != ''")
         counted = cut(token_counts(used, tokenizer, ["doc_id", "key"]).filter("n_tokens > 0"))
         sums = {r.key: (r.t, r.n) for r in counted.groupBy("key").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
         self.shares = plan_shares(weights, {k: t for k, (t, _) in sums.items()}, keys, total_tokens)
@@ -171,7 +172,7 @@ class Mixture:
 
     def _assign(self, counted: DataFrame, seed: int, bits: int) -> DataFrame:
         use = (
-            counted.join(self.plan, "key")
+            counted.join(F.broadcast(self.plan), "key")  # at most MAX_SOURCES rows
             .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
             .withColumn("u", F.xxhash64("doc_id", "pass", F.lit(seed)))
             .withColumn("bucket", F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("long"))
