@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import preparation
+from . import association, preparation
 
-FLAGSHIP = "p1_found"
-_MODULES = [preparation]
+FLAGSHIP = "lm_scan"
+_MODULES = [association, preparation]
 
 
 def queries() -> dict:
