@@ -175,7 +175,7 @@ class Mixture:
             counted.join(F.broadcast(self.plan), "key")  # at most MAX_SOURCES rows
             .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
             .withColumn("u", F.xxhash64("doc_id", "pass", F.lit(seed)))
-            .withColumn("bucket", F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("long"))
+            .withColumn("bucket", F.shiftright("u", 64 - bits) if bits else F.lit(0).cast("long"))
         )
         part = ["key", "pass", "bucket"]
         sums = use.groupBy(*part).agg(F.sum("n_tokens").alias("t"))
