@@ -277,7 +277,8 @@ def parse_block(ids: pa.Array, lines: pa.Array, fast, strict, schema: pa.Schema,
     n = len(ids)
     if n == 0:
         return []
-    if n > 1 or leaf < 1:
+    leaf = max(leaf, 1)
+    if n > 1:
         try:
             if lines.null_count:
                 raise BlockError
