@@ -96,25 +96,52 @@ def ml_slope(delta, lam, lam_full, eta2):
     return out if np.ndim(delta) else float(out[0])
 
 
-def _maximise(value, slope, grids: int, low: float, high: float, tol: float) -> tuple[float, float]:
-    """(delta, value) of the greatest value: log-spaced grid, then bisection of each bracket of the slope."""
-    x = np.linspace(low, high, grids + 1)
-    deltas = np.exp(x)
-    v, s = value(deltas), slope(deltas)
-    best = int(np.nanargmax(v))
-    found = [(float(v[best]), float(deltas[best]))]
-    for i in np.flatnonzero((s[:-1] > 0) & (s[1:] < 0)):
-        a, b = x[i], x[i + 1]
-        while b - a > tol:
-            mid = (a + b) / 2
-            if slope(math.exp(mid)) > 0:
-                a = mid
-            else:
-                b = mid
-        d = math.exp((a + b) / 2)
-        found.append((value(d), d))
-    top, delta = max(found)
-    return delta, top
+class Profile:
+    """Likelihood of a model as a function of delta, from the eigenvectors of K alone.
+
+    In their basis the covariance is diagonal, so for any covariates a value of
+    delta costs a small weighted regression and no further decomposition.
+    """
+
+    def __init__(self, y: np.ndarray, x: np.ndarray, eig: Eigen, method: str):
+        if method not in ("REML", "ML"):
+            raise ValueError("method is REML or ML")
+        self.lam, self.uy, self.ux = eig.values, eig.vectors.T @ y, eig.vectors.T @ thin_q(x)
+        self.n, self.q, self.reml = len(y), self.ux.shape[1], method == "REML"
+        self.p = self.n - self.q if self.reml else self.n
+
+    def __call__(self, delta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-likelihood, slope by delta, weighted residual sum) for an array of deltas."""
+        w = 1 / np.maximum(self.lam + np.atleast_1d(delta)[:, None], 1e-12)
+        pairs = (self.ux[:, :, None] * self.ux[:, None, :]).reshape(self.n, -1)
+        a = (w @ pairs).reshape(-1, self.q, self.q)
+        beta = np.linalg.solve(a, (w @ (self.ux * self.uy[:, None]))[:, :, None])[:, :, 0]
+        r = self.uy - beta @ self.ux.T
+        rss = (w * r * r).sum(1)
+        ll = 0.5 * (self.p * (np.log(self.p / (2 * np.pi)) - 1 - np.log(rss)) + np.log(w).sum(1))
+        slope = 0.5 * (self.p * (w * w * r * r).sum(1) / rss - w.sum(1))
+        if self.reml:  # covariates are orthonormal, so their own determinant is one
+            ll -= 0.5 * np.linalg.slogdet(a)[1]
+            slope += 0.5 * np.trace(np.linalg.solve(a, (w * w @ pairs).reshape(-1, self.q, self.q)), axis1=1, axis2=2)
+        return ll, slope, rss
+
+    def maximise(self, grids: int, low: float, high: float, tol: float) -> tuple[float, float, float]:
+        """(delta, log-likelihood, variance of K): log-spaced grid, then bisection of the slope in every bracket."""
+        x = np.linspace(low, high, grids + 1)
+        ll, slope, _ = self(np.exp(x))
+        best = int(np.nanargmax(ll))
+        found = [(float(ll[best]), float(np.exp(x[best])))]
+        inside = np.flatnonzero((slope[:-1] > 0) & (slope[1:] < 0))
+        if len(inside):
+            a, b = x[inside], x[inside + 1]
+            for _ in range(max(1, math.ceil(math.log2((high - low) / grids / tol)))):
+                mid = (a + b) / 2
+                up = self(np.exp(mid))[1] > 0
+                a, b = np.where(up, mid, a), np.where(up, b, mid)
+            d = np.exp((a + b) / 2)
+            found += zip(self(d)[0].tolist(), d.tolist())
+        top, delta = max(found)
+        return delta, top, float(self(delta)[2][0] / self.p)
 
 
 @dataclass
@@ -135,33 +162,23 @@ class Fit:
 
 def fit(
     y: np.ndarray, k: np.ndarray, x: np.ndarray | None = None, method: str = "REML", eig_k: Eigen | None = None,
-    eig_x: Eigen | None = None, grids: int = 100, low: float = -10, high: float = 10, tol: float = 1e-9,
+    grids: int = 100, low: float = -10, high: float = 10, tol: float = 1e-9, whiten: bool = True,
 ) -> Fit:
-    """Fit by REML or ML; x defaults to an intercept."""
+    """Fit by REML or ML; x defaults to an intercept. eig_k saves the decomposition of K, whiten=False the n x n whitener."""
     y = np.asarray(y, float).ravel()
     n = len(y)
     x = np.ones((n, 1)) if x is None else np.asarray(x, float).reshape(n, -1)
     eig_k = eig_k or Eigen.of(k)
-    eig_x = eig_x or Eigen.within(k, x)
-    lam = eig_x.values
-    eta2 = (eig_x.vectors.T @ y) ** 2
-    if method == "REML":
-        delta, ll = _maximise(lambda d: reml_ll(d, lam, eta2), lambda d: reml_slope(d, lam, eta2), grids, low, high, tol)
-        vg = float((eta2 / (lam + delta)).sum() / len(lam))
-    elif method == "ML":
-        full = eig_k.values
-        delta, ll = _maximise(lambda d: ml_ll(d, lam, full, eta2), lambda d: ml_slope(d, lam, full, eta2), grids, low, high, tol)
-        vg = float((eta2 / (lam + delta)).sum() / n)
-    else:
-        raise ValueError("method is REML or ML")
-    return _complete(y, x, eig_k, delta, vg, ll)
-
-
-def _complete(y, x, eig_k: Eigen, delta: float, vg: float, ll: float) -> Fit:
-    w = (eig_k.vectors / np.sqrt(np.maximum(eig_k.values + delta, 1e-12))).T
-    wx, wy = w @ x, w @ y
+    delta, ll, vg = Profile(y, x, eig_k, method).maximise(grids, low, high, tol)
+    return _complete(y, x, eig_k, delta, vg, ll, whiten)
+
+
+def _complete(y, x, eig_k: Eigen, delta: float, vg: float, ll: float, whiten: bool) -> Fit:
+    root = 1 / np.sqrt(np.maximum(eig_k.values + delta, 1e-12))
+    wx, wy = root[:, None] * (eig_k.vectors.T @ x), root * (eig_k.vectors.T @ y)
     beta, *_ = np.linalg.lstsq(wx, wy, rcond=None)
     r = wy - wx @ beta
+    w = (eig_k.vectors * root).T if whiten else None
     return Fit(delta, vg, vg * delta, ll, 1 / (1 + delta), beta, float(r @ r), w, len(y), x.shape[1])
 
 
@@ -178,7 +195,7 @@ def fit_two(y: np.ndarray, k1: np.ndarray, k2: np.ndarray, x: np.ndarray | None
         step = (high - low) / grids
         for lr in np.linspace(low, high, grids + 1):
             a = 1 / (1 + math.exp(-lr))
-            f = fit(y, a * k1 + (1 - a) * k2, x, method, grids=50)
+            f = fit(y, a * k1 + (1 - a) * k2, x, method, grids=50, whiten=False)
             if best is None or f.ll > best[0]:
                 best = (f.ll, lr, f)
         low, high = best[1] - step, best[1] + step
@@ -191,7 +208,7 @@ def likelihood_ratio(y: np.ndarray, k: np.ndarray) -> tuple[float, float]:
     """(statistic, p) of the test that the variance of K is above zero, one degree of freedom."""
     y = np.asarray(y, float)
     n = len(y)
-    full = fit(y, scale_k(k), method="ML").ll
+    full = fit(y, scale_k(k), method="ML", whiten=False).ll
     null = -0.5 * n * (math.log(2 * math.pi * float(np.var(y))) + 1)
     stat = max(0.0, 2 * (full - null))
     return stat, float(chi2_sf(stat, 1))

@@ -7,6 +7,10 @@ chromosome. Missing calls are NULL. maf is a frequency, mac a count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,15 +183,31 @@ def scale_positions(panel: Panel, factor: float) -> Panel:
     return panel.with_markers(panel.markers.withColumn("pos", (F.col("pos") * factor).cast("long")))
 
 
+def gather(column: str, places: Column) -> Column:
+    """Elements at 1-based places, NULL for places outside.
+
+    The column is named twice in the lambda, so that the optimizer keeps it as a
+    column: an expression named once would be put into the lambda and computed
+    for every element.
+    """
+    return F.transform(places, lambda i: F.when((i > 0) & (i <= F.size(column)), F.element_at(column, F.greatest(i, F.lit(1)))))
+
+
+def _replace_gaps(panel: Panel, value: Column, kind: str | None = None) -> DataFrame:
+    """Missing calls become the marker's value; the value is named twice for the reason given in gather."""
+    m = panel.markers.withColumn("_v", value)
+    calls = F.transform("calls", lambda x: F.coalesce(x.cast("double"), F.col("_v")).cast(kind) if kind else F.coalesce(x, F.col("_v")))
+    return m.withColumn("calls", F.when(F.col("_v").isNotNull(), calls).otherwise(F.col("calls").cast(f"array<{kind}>") if kind else F.col("calls"))).drop("_v")
+
+
 def pick_individuals(panel: Panel, at: list[int]) -> Panel:
     """The panel with the individuals at these places, in this order; places may repeat."""
     if at == list(range(panel.n)):
         return panel
     places = F.array(*[F.lit(i + 1) for i in at]) if at else F.array().cast("array<int>")
-    calls = F.transform(places, lambda i: F.element_at("calls", i))
-    markers = panel.markers.withColumn("calls", calls)
+    markers = panel.markers.withColumn("calls", gather("calls", places))
     if "probs" in markers.columns:
-        markers = markers.withColumn("probs", F.transform(places, lambda i: F.element_at("probs", i)))
+        markers = markers.withColumn("probs", gather("probs", places))
     return Panel(markers, [panel.ids[i] for i in at], panel.data_format)
 
 
@@ -231,7 +251,8 @@ def to_binary(panel: Panel, reference_id: str | None = None, only_biallelic_: bo
     m = panel.markers.withColumn("_order", order)
     if only_biallelic_:
         m = m.filter(F.size("_order") == 2)
-    m = m.withColumn("calls", F.transform("calls", lambda x: F.when(x.isNotNull(), (F.array_position("_order", x) - 1).cast("tinyint")))).drop("_order")
+    codes = F.transform("calls", lambda x: F.when(x.isNotNull(), (F.array_position("_order", x) - 1).cast("tinyint")))
+    m = m.withColumn("calls", F.when(F.size("_order") >= 0, codes)).drop("_order")
     return Panel(m, panel.ids, "binary" if only_biallelic_ else "int")
 
 
@@ -250,7 +271,7 @@ def mask_ambiguous(panel: Panel, max_missing: int | None = None) -> Panel:
 def z_scores(panel: Panel) -> DataFrame:
     """marker_id, chrom, pos, z: calls minus mean over population sd; NULL for sd 0, 0 for missing calls."""
     m = panel.markers.select("marker_id", "chrom", "pos", "calls", mean_call().alias("_m"), sd_call().alias("_s"))
-    z = F.when(F.col("_s") > 0, F.transform("calls", lambda x: F.coalesce((x.cast("double") - F.col("_m")) / F.col("_s"), F.lit(0.0))))
+    z = F.when((F.col("_s") > 0) & F.col("_m").isNotNull(), F.transform("calls", lambda x: F.coalesce((x.cast("double") - F.col("_m")) / F.col("_s"), F.lit(0.0))))
     return m.select("marker_id", "chrom", "pos", z.alias("z"))
 
 
@@ -262,21 +283,17 @@ def mode_call(calls: Column | str = "calls", values: tuple[int, ...] = (0, 1, 2)
 
 def impute_mode(panel: Panel) -> Panel:
     """Missing calls become the marker's most frequent call."""
-    m = panel.markers.withColumn("_v", mode_call())
-    return panel.with_markers(m.withColumn("calls", F.transform("calls", lambda x: F.coalesce(x, F.col("_v")))).drop("_v"))
+    return panel.with_markers(_replace_gaps(panel, mode_call()))
 
 
 def impute_rounded_mean(panel: Panel) -> Panel:
     """Missing calls become the marker's mean call, rounded half up."""
-    m = panel.markers.withColumn("_v", F.floor(mean_call() + 0.5).cast("tinyint"))
-    return panel.with_markers(m.withColumn("calls", F.transform("calls", lambda x: F.coalesce(x, F.col("_v")))).drop("_v"))
+    return panel.with_markers(_replace_gaps(panel, F.floor(mean_call() + 0.5).cast("tinyint")))
 
 
 def impute_mean(panel: Panel) -> Panel:
     """Missing calls become the marker's mean; the panel turns to floats."""
-    m = panel.markers.withColumn("_v", mean_call())
-    m = m.withColumn("calls", F.transform("calls", lambda x: F.coalesce(x.cast("double"), F.col("_v")).cast("float"))).drop("_v")
-    return Panel(m, panel.ids, "float")
+    return Panel(_replace_gaps(panel, mean_call(), "float"), panel.ids, "float")
 
 
 def drop_unusable(panel: Panel, missing_threshold: float, impute: str | None, drop_monomorphic: bool, drop_zero_position: bool) -> Panel:
@@ -306,16 +323,23 @@ def drop_unusable(panel: Panel, missing_threshold: float, impute: str | None, dr
 def haplotype_codes(panel: Panel, window: int = 1) -> DataFrame:
     """marker_id, chrom, pos, codes: each marker's calls replaced by the number of the haplotype over +-window markers.
 
-    Numbers are dense ranks of the haplotypes as strings within the marker, from
-    0; windows are shorter at chromosome ends.
+    Numbers are ranks of the haplotypes in order of their calls within the marker,
+    from 0, a missing call before all others; windows are shorter at chromosome
+    ends.
     """
-    m = panel.markers.select("marker_id", "chrom", "pos", F.transform("calls", lambda x: F.coalesce(x.cast("string"), F.lit("."))).alias("s"))
-    m = Along(m, "marker_id").neighbours(window, lambda w: {"near": F.collect_list("s").over(w)})
-    size = F.size("s")
-    hap = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat_ws(",", F.transform("near", lambda r: F.element_at(r, i))))
-    m = m.select("marker_id", "chrom", "pos", hap.alias("hap"))
-    m = m.withColumn("distinct_haps", F.array_sort(F.array_distinct("hap")))
-    return m.select("marker_id", "chrom", "pos", F.transform("hap", lambda h: (F.array_position("distinct_haps", h) - 1).cast("int")).alias("codes"))
+    n = panel.n
+    m = panel.markers.select("marker_id", "chrom", "pos", F.transform("calls", lambda x: F.coalesce(x.cast("short"), F.lit(-1).cast("short"))).alias("g"))
+    near = Along(m, "marker_id").neighbours(window, lambda w: {"near": F.flatten(F.collect_list("g").over(w))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = []
+            for x in b.column("near"):
+                rows = x.values.to_numpy().reshape(-1, n)
+                codes.append(np.unique(rows, axis=1, return_inverse=True)[1].ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(codes, pa.list_(pa.int32()))], ["marker_id", "chrom", "pos", "codes"])
+
+    return near.select("marker_id", F.col("chrom").cast("int").alias("chrom"), F.col("pos").cast("long").alias("pos"), "near").mapInArrow(run, "marker_id long, chrom int, pos long, codes array<int>")
 
 
 def haplotype_counts(panel: Panel) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Panel
-from .markers import filter_monomorphic, only_biallelic, pick_individuals
+from .markers import filter_monomorphic, gather, only_biallelic, pick_individuals
 from .ordering import Along
 from .regions import range_join
 
@@ -44,7 +44,7 @@ def _onto(panel: Panel, ids: list[str]) -> DataFrame:
     """Markers with calls in the order of ids, NULL for individuals the panel lacks."""
     place = {x: i for i, x in reversed(list(enumerate(panel.ids)))}
     at = F.array(*[F.lit(place.get(x, -1) + 1) for x in ids])
-    return panel.markers.withColumn("calls", F.transform(at, lambda i: F.when(i > 0, F.element_at("calls", F.greatest(i, F.lit(1))))))
+    return panel.markers.withColumn("calls", gather("calls", at))
 
 
 def _mismatch(a: Column, b: Column) -> tuple[Column, Column]:

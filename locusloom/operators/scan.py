@@ -283,12 +283,13 @@ def emma(panel: Panel, y, k: np.ndarray, x=None, rows: list[int] | None = None,
     x0 = np.ones((len(y), 1)) if x is None else np.asarray(x, float).reshape(len(y), -1)
     base = Null(y, x0, None, rows)
     eig_k = Eigen.of(k)
-    shared = panel.spark.sparkContext.broadcast((base, k, eig_k))
+    shared = panel.spark.sparkContext.broadcast((base, None, eig_k))
     n = panel.n
     columns = ["beta", "f_stat", "p_value", "rss", "var_perc", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, eig_k = shared.value
+        uy, ux = eig_k.vectors.T @ base.y, eig_k.vectors.T @ base.x
         for b in batches:
             rows_out = []
             for g in base.observe(b.column("calls"), n):
@@ -296,8 +297,9 @@ def emma(panel: Panel, y, k: np.ndarray, x=None, rows: list[int] | None = None,
                 if thin_q(xg).shape[1] == base.p:
                     rows_out.append((0.0, 0.0, 1.0, base.rss0, 0.0, np.nan))
                     continue
-                f = fit(base.y, k, xg, eig_k=eig_k, grids=grids, low=low, high=high)
-                null = Null(base.y, base.x, f.whitener)
+                f = fit(base.y, k, xg, eig_k=eig_k, grids=grids, low=low, high=high, whiten=False)
+                root = 1 / np.sqrt(np.maximum(eig_k.values + f.delta, 1e-12))
+                null = Null(root * uy, root[:, None] * ux)
                 stat, p = _f(np.array([null.rss0]), np.array([f.rss]), 1, base.n - base.p - 1)
                 rows_out.append((f.beta[-1], stat[0], p[0], f.rss, 1 - f.rss / null.rss0, f.delta))
             out = [pa.array(np.array(c, float)) for c in zip(*rows_out)] if rows_out else [pa.array([], pa.float64())] * 6

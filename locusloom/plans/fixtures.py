@@ -8,6 +8,8 @@ C: replicated traits from events. D: results from orders. E: genes and loci.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +47,23 @@ def panel_b(spark: SparkSession, d: str, gaps: bool = False) -> tuple[Panel, np.
     s = [(r.s_suppkey, r.s_acctbal) for r in table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").collect()]  # the individuals
     ids = [k for k, _ in s]
     n = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.least(F.count("*"), F.lit(2)).cast("tinyint").alias("g"))
-    per = n.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(F.struct("l_suppkey", "g"))).alias("at"))
+    per = n.groupBy("l_partkey").agg(F.collect_list("l_suppkey").alias("k"), F.collect_list("g").alias("g"))
     p = table(spark, d, "part").select("p_partkey", "p_size").join(per, F.col("p_partkey") == F.col("l_partkey"), "left")
-    at = F.coalesce("at", F.create_map().cast("map<bigint,tinyint>"))
-
-    def cell(k):
-        g = F.coalesce(F.try_element_at(at, k), F.lit(0).cast("tinyint"))
-        return F.when((7 * k + 13 * F.col("p_partkey")) % 29 != 0, g) if gaps else g
-
-    places = F.array(*[F.lit(k).cast("long") for k in ids]) if ids != list(range(len(ids))) else F.sequence(F.lit(0).cast("long"), F.lit(len(ids) - 1).cast("long"))
-    m = p.select(F.col("p_partkey").alias("marker_id"), (F.col("p_size") % 5 + 1).cast("int").alias("chrom"), ((F.col("p_partkey") + 1) * 100).alias("pos"), F.transform(places, cell).alias("calls"))
+    rows = p.select(F.col("p_partkey").alias("marker_id"), (F.col("p_size") % 5 + 1).cast("int").alias("chrom"), ((F.col("p_partkey") + 1) * 100).alias("pos"), "k", "g")
+    order = np.array(ids, np.int64)
+
+    def dense(batches):
+        for b in batches:
+            out = np.zeros((b.num_rows, len(order)), np.int8)
+            k, g = b.column("k"), b.column("g")
+            size = pc.fill_null(pc.list_value_length(k), 0).to_numpy()
+            at = np.searchsorted(order, k.flatten().to_numpy())
+            out[np.repeat(np.arange(b.num_rows), size), at] = g.flatten().to_numpy()
+            missing = (7 * order + 13 * b.column("marker_id").to_numpy()[:, None]) % 29 == 0 if gaps else np.zeros(out.shape, bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(order), pa.int32()), pa.array(out.ravel(), mask=missing.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], ["marker_id", "chrom", "pos", "calls"])
+
+    m = rows.mapInArrow(dense, "marker_id long, chrom int, pos long, calls array<tinyint>")
     return Panel(m, [str(k) for k in ids], "diploid_int"), np.array([y for _, y in s], float)
 
 

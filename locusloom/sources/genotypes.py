@@ -86,7 +86,7 @@ def read_genotypes(spark: SparkSession, path: str, fmt: str = "binary", **option
 def read_loci(spark: SparkSession, path: str, delim: str = ",") -> DataFrame:
     """Only (chrom, pos) of a genotype CSV."""
     _, _, skip = _header(spark, path, delim)
-    f = numbered_lines(spark, path).filter(F.col("line_no") >= skip).withColumn("f", F.split("value", delim, 3))
+    f = numbered_lines(spark, path).filter((F.col("line_no") >= skip) & (F.length(F.trim("value")) > 0)).withColumn("f", F.split("value", delim, 3))
     return f.select(F.element_at("f", 1).cast("int").alias("chrom"), F.element_at("f", 2).cast("double").cast("long").alias("pos"))
 
 
