@@ -183,21 +183,26 @@ def scale_positions(panel: Panel, factor: float) -> Panel:
     return panel.with_markers(panel.markers.withColumn("pos", (F.col("pos") * factor).cast("long")))
 
 
-def gather(column: str, places: Column) -> Column:
-    """Elements at 1-based places, NULL for places outside.
+def beside(calls: Column | str, value: Column, f) -> Column:
+    """f(call, value) for every call of the row.
 
-    The column is named twice in the lambda, so that the optimizer keeps it as a
-    column: an expression named once would be put into the lambda and computed
-    for every element.
+    The value is handed in as an array of its copies, not named in the lambda:
+    when the optimizer moves filters, it replaces column names by their
+    expressions, and within a lambda those would be computed for every element.
     """
-    return F.transform(places, lambda i: F.when((i > 0) & (i <= F.size(column)), F.element_at(column, F.greatest(i, F.lit(1)))))
+    c = _col(calls)
+    return F.zip_with(c, F.array_repeat(value, F.size(c)), f)
+
+
+def gather(column: str, places: Column) -> Column:
+    """Elements at 1-based places, NULL for places outside."""
+    return F.zip_with(places, F.array_repeat(F.col(column), F.size(places)), lambda i, c: F.when((i > 0) & (i <= F.size(c)), F.element_at(c, F.greatest(i, F.lit(1)))))
 
 
 def _replace_gaps(panel: Panel, value: Column, kind: str | None = None) -> DataFrame:
-    """Missing calls become the marker's value; the value is named twice for the reason given in gather."""
-    m = panel.markers.withColumn("_v", value)
-    calls = F.transform("calls", lambda x: F.coalesce(x.cast("double"), F.col("_v")).cast(kind) if kind else F.coalesce(x, F.col("_v")))
-    return m.withColumn("calls", F.when(F.col("_v").isNotNull(), calls).otherwise(F.col("calls").cast(f"array<{kind}>") if kind else F.col("calls"))).drop("_v")
+    """Missing calls become the marker's value."""
+    fill = (lambda x, v: F.coalesce(x.cast("double"), v).cast(kind)) if kind else (lambda x, v: F.coalesce(x, v))
+    return panel.markers.withColumn("calls", beside("calls", value, fill))
 
 
 def pick_individuals(panel: Panel, at: list[int]) -> Panel:
@@ -251,8 +256,7 @@ def to_binary(panel: Panel, reference_id: str | None = None, only_biallelic_: bo
     m = panel.markers.withColumn("_order", order)
     if only_biallelic_:
         m = m.filter(F.size("_order") == 2)
-    codes = F.transform("calls", lambda x: F.when(x.isNotNull(), (F.array_position("_order", x) - 1).cast("tinyint")))
-    m = m.withColumn("calls", F.when(F.size("_order") >= 0, codes)).drop("_order")
+    m = m.withColumn("calls", beside("calls", F.col("_order"), lambda x, o: F.when(x.isNotNull(), (F.array_position(o, x) - 1).cast("tinyint")))).drop("_order")
     return Panel(m, panel.ids, "binary" if only_biallelic_ else "int")
 
 
@@ -270,9 +274,8 @@ def mask_ambiguous(panel: Panel, max_missing: int | None = None) -> Panel:
 
 def z_scores(panel: Panel) -> DataFrame:
     """marker_id, chrom, pos, z: calls minus mean over population sd; NULL for sd 0, 0 for missing calls."""
-    m = panel.markers.select("marker_id", "chrom", "pos", "calls", mean_call().alias("_m"), sd_call().alias("_s"))
-    z = F.when((F.col("_s") > 0) & F.col("_m").isNotNull(), F.transform("calls", lambda x: F.coalesce((x.cast("double") - F.col("_m")) / F.col("_s"), F.lit(0.0))))
-    return m.select("marker_id", "chrom", "pos", z.alias("z"))
+    z = beside("calls", F.struct(mean_call().alias("m"), sd_call().alias("s")), lambda x, v: F.coalesce((x.cast("double") - v["m"]) / v["s"], F.lit(0.0)))
+    return panel.markers.select("marker_id", "chrom", "pos", F.when(sd_call() > 0, z).alias("z"))
 
 
 def mode_call(calls: Column | str = "calls", values: tuple[int, ...] = (0, 1, 2)) -> Column:

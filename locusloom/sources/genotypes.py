@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.markers import drop_unusable, impute_mode, impute_rounded_mean, to_binary
+from ..operators.markers import drop_unusable, gather, impute_mode, impute_rounded_mean, to_binary
 from ..panel import Panel
 from .text import fields, first_lines, guess_delimiter, numbered_lines
 
@@ -26,6 +26,11 @@ def decode_nucleotides(col: Column) -> Column:
     return F.when(one.isin(*SINGLE_CODES), one).otherwise(F.try_element_at(pairs, one))
 
 
+def in_pairs(values: Column, f) -> Column:
+    """f of the first and second, third and fourth, ... element."""
+    return F.zip_with(F.filter(values, lambda x, i: i % 2 == 0), F.filter(values, lambda x, i: i % 2 == 1), f)
+
+
 def _header(spark: SparkSession, path: str, delim: str) -> tuple[list[str], list[str] | None, int]:
     """Individual ids, array ids and the number of header lines."""
     lines = [[x.strip() for x in line.split(delim)] for line in first_lines(spark, path, 2)]
@@ -43,7 +48,7 @@ def _matrix_file(spark: SparkSession, path: str, delim: str, call, keep: list[st
     if fraction < 1:
         rows = rows.sample(False, fraction, seed)
     f = rows.withColumn("f", fields(delim))
-    picked = F.slice("f", 3, len(ids)) if len(at) == len(ids) else F.transform(F.array(*[F.lit(i + 3) for i in at]), lambda i: F.element_at("f", i))
+    picked = F.slice("f", 3, len(ids)) if len(at) == len(ids) else gather("f", F.array(*[F.lit(i + 3) for i in at]))
     markers = f.select(
         (F.col("line_no") - skip).alias("marker_id"), F.element_at("f", 1).cast("int").alias("chrom"), F.element_at("f", 2).cast("double").cast("long").alias("pos"),
         F.transform(picked, call).alias("calls"),
@@ -145,7 +150,7 @@ def read_ped(spark: SparkSession, prefix: str, only_biallelic: bool = True) -> t
     f = numbered_lines(spark, f"{prefix}.ped").filter(F.length(F.trim("value")) > 0).withColumn("f", fields("blanks"))
     people = [r.indiv_id for r in f.select("line_no", F.element_at("f", 2).alias("indiv_id")).orderBy("line_no").collect()]
     alleles = F.slice("f", 7, F.size("f"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(alleles) - 1, F.lit(2)), lambda i: F.struct(F.element_at(alleles, i).alias("x"), F.element_at(alleles, i + 1).alias("y")))
+    pairs = in_pairs(alleles, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     calls = f.select(F.col("line_no").cast("int").alias("idx"), F.posexplode(pairs).alias("marker_id", "p")).select("idx", F.col("marker_id").cast("long").alias("marker_id"), "p.x", "p.y")
     calls = calls.withColumn("ok", (F.col("x") != "0") & (F.col("y") != "0"))
     seen = calls.filter("ok").select("marker_id", F.explode(F.array("x", "y")).alias("a")).groupBy("marker_id").agg(F.sort_array(F.collect_set("a")).alias("alleles"))
@@ -171,8 +176,8 @@ def read_tped(spark: SparkSession, prefix: str, impute: str | None = "simple", b
     ids = [r.indiv_id for r in people.orderBy("idx").collect()]
     n = len(ids)
     f = numbered_lines(spark, f"{prefix}.tped").filter(F.length(F.trim("value")) > 0).withColumn("f", fields("blanks")).filter(F.size("f") == 4 + 2 * n)
-    allele = lambda i: F.element_at("f", i).cast("tinyint")
-    calls = F.transform(F.sequence(F.lit(5), F.lit(3 + 2 * n), F.lit(2)), lambda i: F.when((allele(i) > 0) & (allele(i + 1) > 0), (allele(i) + allele(i + 1) - 2).cast("tinyint")))
+    alleles = F.transform(F.slice("f", 5, 2 * n), lambda x: x.cast("tinyint"))
+    calls = in_pairs(alleles, lambda x, y: F.when((x > 0) & (y > 0), (x + y - 2).cast("tinyint")))
     e = lambda i: F.element_at("f", i)
     markers = f.select(F.col("line_no").alias("marker_id"), e(1).cast("int").alias("chrom"), e(4).cast("long").alias("pos"), e(2).alias("snp_id"), calls.alias("calls"))
     if bim:
