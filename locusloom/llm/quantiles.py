@@ -23,6 +23,7 @@ none; repeated rows count as often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,14 +214,23 @@ def _schema(df: DataFrame, keys: list[str], extra: list[T.StructField] = []) ->
     return T.StructType([df.schema[k] for k in keys] + extra + SUMMARY)
 
 
-def merge_summaries(summaries: DataFrame, keys: list[str], slices: int = 1, least: int = 20_000) -> DataFrame:
+#: Parts of one group that a single task merges without an intermediate level.
+MAX_FAN_IN = 256
+
+
+def merge_summaries(summaries: DataFrame, keys: list[str], slices: int | None = None, least: int = 20_000) -> DataFrame:
     """One summary per group of ``keys`` from summaries of finer groups or parts.
 
     slices: more than 1 merges in two levels, first within each of so many
-    slices, so that a group with very many parts isn't merged in one task.
+    slices, so that a group with very many parts isn't merged in one task. By
+    default that happens where the summaries come in more than MAX_FAN_IN
+    partitions, with as many slices as parts per slice.
     """
     part = ["n", "eps", "v", "g", "d"]
     df = summaries.select(*keys, *part)
+    if slices is None:
+        parts = df.rdd.getNumPartitions()
+        slices = math.isqrt(parts) if parts > MAX_FAN_IN else 1
     levels = 2 if slices > 1 else 1
     if slices > 1:
         df = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
@@ -230,7 +240,7 @@ def merge_summaries(summaries: DataFrame, keys: list[str], slices: int = 1, leas
     return df.mapInArrow(_merge(keys, 0.5 / levels, least), _schema(df, keys))
 
 
-def summarize(df: DataFrame, keys: list[str], value: str, eps: float = 0.005, slices: int = 1, block: int = 200_000) -> DataFrame:
+def summarize(df: DataFrame, keys: list[str], value: str, eps: float = 0.005, slices: int | None = None, block: int = 200_000) -> DataFrame:
     """One summary per group: keys, n, eps, v, g, d.
 
     eps: permitted rank error as a share of n; block: rows sorted at once in a
