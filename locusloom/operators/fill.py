@@ -147,7 +147,7 @@ def _call_stream(gap_limit: int, least_rows: int):
     return run
 
 
-def fill_calls(genotypes: DataFrame, gap_limit: int = 50_000, segment_width: int = 2_000_000, least_rows: int = 4096) -> DataFrame:
+def fill_calls(genotypes: DataFrame, gap_limit: int = 50_000, segment_width: int = 1_000_000, least_rows: int = 4096) -> DataFrame:
     """(marker_id, calls, call_method, call_distance), one row per marker with calls.
 
     gap_limit: bases over which a call may be carried; segment_width: bases per
@@ -172,7 +172,7 @@ def fill_calls(genotypes: DataFrame, gap_limit: int = 50_000, segment_width: int
 # --------------------------------------------------------------------- counts
 
 
-def fill_counts(genotypes: DataFrame, segment_width: int = 2_000_000) -> DataFrame:
+def fill_counts(genotypes: DataFrame, segment_width: int = 1_000_000) -> DataFrame:
     """(marker_id, missing_counts, count_method, count_distance), one row per marker.
 
     A count is missing if NULL, negative or above n_typed. method: observed,
@@ -219,7 +219,7 @@ def fill_counts(genotypes: DataFrame, segment_width: int = 2_000_000) -> DataFra
     return full.select("marker_id", F.when(method.isNotNull(), F.least(filled, F.col("n_typed").cast("double"))).alias("missing_counts"), method.alias("count_method"), distance.alias("count_distance"))
 
 
-def fill_genotypes(genotypes: DataFrame, gap_limit: int = 50_000, segment_width: int = 2_000_000) -> DataFrame:
+def fill_genotypes(genotypes: DataFrame, gap_limit: int = 50_000, segment_width: int = 1_000_000) -> DataFrame:
     """All columns of the table with calls and counts filled, each fill marked.
 
     ``raw_snps`` and ``missing_counts`` are replaced; call_method, call_distance,

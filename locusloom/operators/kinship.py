@@ -257,18 +257,22 @@ def upgma(k: np.ndarray) -> list[tuple[int, int, float, int]]:
     n = len(k)
     d = k.max() - k.astype(float)
     np.fill_diagonal(d, np.inf)
-    active, size, out = list(range(n)), dict.fromkeys(range(n), 1), []
-    name = list(range(n))
+    size, name, out = np.ones(n), list(range(n)), []
+    near = d.argmin(axis=1) if n else np.zeros(0, int)
+    least = d[np.arange(n), near]
     for step in range(n - 1):
-        sub = d[np.ix_(active, active)]
-        p, q = divmod(int(sub.argmin()), len(active))
-        i, j = sorted((active[p], active[q]))
-        a, b = name[i], name[j]
+        i = int(least.argmin())
+        i, j = sorted((i, int(near[i])))
+        a, b = sorted((name[i], name[j]))
         w = size[i] + size[j]
-        out.append((min(a, b), max(a, b), float(d[i, j]), w))
-        row = (size[i] * d[i] + size[j] * d[j]) / w
+        out.append((a, b, float(d[i, j]), int(w)))
+        row = (size[i] * d[i] + size[j] * d[j]) / w  # infinite for clusters that are gone
+        row[[i, j]] = np.inf
         d[i], d[:, i] = row, row
-        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i], name[i] = w, n + step
-        active.remove(j)
+        least[j] = np.inf
+        for c in np.flatnonzero(np.isfinite(least) & ((near == i) | (near == j) | (row < least)) | (np.arange(n) == i)):
+            near[c] = d[c].argmin()
+            least[c] = d[c, near[c]]
     return out

@@ -51,9 +51,11 @@ class Null:
         x = g if self.w is None else g @ self.w.T
         return x - (x @ self.q) @ self.q.T
 
-    def observe(self, calls: pa.Array, n: int) -> np.ndarray:
-        """Calls of a batch as complete rows of observations."""
+    def observe(self, calls: pa.Array, n: int, complete: bool = True) -> np.ndarray:
+        """Calls of a batch as rows of observations, gaps filled with the marker's mean where complete."""
         g = calls_matrix(calls, n)
+        if not complete:
+            return g if self.rows is None else g[:, self.rows]
         with np.errstate(invalid="ignore"):
             g = np.where(np.isnan(g), np.nan_to_num(np.nanmean(g, axis=1, keepdims=True)) if len(g) else g, g)
         return g if self.rows is None else g[:, self.rows]
@@ -85,7 +87,7 @@ def _source(panel: Panel) -> DataFrame:
 _HEAD = "marker_id long, chrom int, pos long, mac double, maf double"
 
 
-def _scan(panel: Panel, null: Null, columns: list[str], work) -> DataFrame:
+def _scan(panel: Panel, null: Null, columns: list[str], work, complete: bool = True) -> DataFrame:
     """Maps batches of markers; work(null, observations) returns one array per column."""
     n = panel.n
     shared = panel.spark.sparkContext.broadcast(null)  # n x n at most
@@ -96,7 +98,7 @@ def _scan(panel: Panel, null: Null, columns: list[str], work) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, step):
                 part = b.slice(k, step)
-                out = work(own, own.observe(part.column("calls"), n))
+                out = work(own, own.observe(part.column("calls"), n, complete))
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], *[pa.array(np.asarray(v, float)) for v in out]], names=["marker_id", "chrom", "pos", "mac", "maf", *columns])
 
     return _source(panel).mapInArrow(run, _HEAD + "".join(f", {c} double" for c in columns))
@@ -115,10 +117,14 @@ def f_scan(panel: Panel, null: Null) -> DataFrame:
     return _scan(panel, null, ["beta", "f_stat", "p_value", "rss", "var_perc"], work)
 
 
-def anova_scan(panel: Panel, null: Null) -> DataFrame:
-    """One-way analysis over genotype classes: n_classes, f_stat, p_value, rss, var_perc."""
+def anova_scan(panel: Panel, null: Null, missing_class: bool = False) -> DataFrame:
+    """One-way analysis over genotype classes: n_classes, f_stat, p_value, rss, var_perc.
+
+    missing_class: missing calls form a class of their own; else they count to
+    the class nearest to the marker's mean.
+    """
     def work(null: Null, g: np.ndarray):
-        g = np.rint(g)
+        g = np.where(np.isnan(g), -1.0, np.rint(g))
         values = np.unique(g)
         fall, used = np.zeros(len(g)), np.zeros(len(g))
         basis: list[np.ndarray] = []
@@ -138,7 +144,7 @@ def anova_scan(panel: Panel, null: Null) -> DataFrame:
             f[at], p[at] = _f(np.full(at.sum(), null.rss0), rss[at], q, null.n - null.p - int(q))
         return used + 1, f, p, rss, fall / null.rss0
 
-    return _scan(panel, null, ["n_classes", "f_stat", "p_value", "rss", "var_perc"], work)
+    return _scan(panel, null, ["n_classes", "f_stat", "p_value", "rss", "var_perc"], work, complete=not missing_class)
 
 
 def gxe_scan(panel: Panel, null: Null, env) -> DataFrame:
@@ -335,6 +341,54 @@ def emmax_permutations(panel: Panel, y, k: np.ndarray, n_perm: int = 100, seed:
 # ----------------------------------------------------------- single tests
 
 
+class LinearModel:
+    """Ordinary regression of one trait on covariates kept on the driver; starts with an intercept."""
+
+    def __init__(self, y):
+        self.y = np.asarray(y, float).ravel()
+        self.x = np.ones((len(self.y), 1))
+
+    def add_factor(self, x, tolerance: float = 1e-8) -> bool:
+        """Appends a covariate unless it depends on those there."""
+        x = np.asarray(x, float).ravel()
+        q = thin_q(self.x)
+        rest = x - q @ (q.T @ x)
+        if rest @ rest < tolerance:
+            return False
+        self.x = np.column_stack([self.x, x])
+        return True
+
+    def set_factors(self, factors, intercept: bool = True) -> None:
+        """Replaces all covariates."""
+        columns = [np.ones(len(self.y))] if intercept else []
+        self.x = np.column_stack([*columns, *[np.asarray(f, float).ravel() for f in factors]])
+
+    @property
+    def hat(self) -> np.ndarray:
+        q = thin_q(self.x)
+        return q @ q.T
+
+    @property
+    def betas(self) -> np.ndarray:
+        return np.linalg.lstsq(self.x, self.y, rcond=None)[0]
+
+    @property
+    def residuals(self) -> np.ndarray:
+        return self.y - self.x @ self.betas
+
+    @property
+    def rss(self) -> float:
+        return float(self.residuals @ self.residuals)
+
+    @property
+    def ll(self) -> float:
+        return log_likelihood(self.rss, len(self.y))
+
+    def null(self, rows: list[int] | None = None) -> Null:
+        """The null model for scans."""
+        return Null(self.y, self.x, rows=rows)
+
+
 def general_f_test(y, x, a, c) -> tuple[float, float]:
     """(F, p) of the hypothesis A beta = c."""
     y, x, a, c = (np.asarray(v, float) for v in (y, x, np.atleast_2d(a), np.ravel(c)))

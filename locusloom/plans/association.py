@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import kinship as K
 from ..operators import ld, markers, panels, ranking, regions, scan, simulate, stepwise, traits, variance
 from ..panel import Panel
-from ..session import table
+from ..session import scratch_path, table
+from ..streaming.hits import daily_best
 from . import frames, pipelines
 from .fixtures import A_SQL, B_SQL, C_SQL, D_SQL, E_SQL, genes_e, loci_e, panel_a, panel_b, phenotypes_c, results_d, with_sql
 
@@ -708,3 +709,109 @@ def stored_gwas(spark: SparkSession, d: str) -> DataFrame:
     """Frequency filter, kinship and mixed-model scan."""
     p, y = panel_a(spark, d)
     return pipelines.stored_gwas(p, y)[0]
+
+
+# ------------------------------------------------------------ further results
+
+_TWO_RESULTS = (D_SQL, "x as (select * from d where row_id % 3 <> 0), y as (select row_id, chrom, pos, 1 - score as score from d where row_id % 4 <> 0)")
+
+
+def _two_results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    x = results_d(spark, d)
+    return x.filter("row_id % 3 <> 0"), x.filter("row_id % 4 <> 0").withColumn("score", 1 - F.col("score"))
+
+
+@query(with_sql(*_TWO_RESULTS) + """, tx as (select chrom, pos from x where score < (select score from (select score, row_number() over (order by score, row_id) - 1 as k from x) where k = (select floor(count(*) * 0.1) from x))),
+  ty as (select chrom, pos from y where score < (select score from (select score, row_number() over (order by score, row_id) - 1 as k from y) where k = (select floor(count(*) * 0.1) from y)))
+select x.row_id from x join y using (chrom, pos) where (chrom, pos) in (select (chrom, pos) from tx) or (chrom, pos) in (select (chrom, pos) from ty)""")
+def common_top(spark: SparkSession, d: str) -> DataFrame:
+    """Loci of two results in either's top tenth that both have."""
+    return ranking.common_top(*_two_results(spark, d))[0].select("row_id")
+
+
+@query(with_sql(*_TWO_RESULTS) + "select y.chrom, y.pos, coalesce(x.row_id, -1) as row_id from y left join x using (chrom, pos)")
+def locus_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Row of one result at each locus of another."""
+    x, y = _two_results(spark, d)
+    return ranking.locus_rows(x, y.select("chrom", "pos"))
+
+
+@query(with_sql(D_SQL, E_SQL) + """, b as (select chrom, pos from d order by score, row_id limit 1)
+select gene_id, abs(genes.chrom - b.chrom) as chrom_distance, (case when pos between start_pos and end_pos then 0 else least(abs(pos - start_pos), abs(pos - end_pos)) end)::bigint as pos_distance from genes, b""")
+def gene_best_hit(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of each gene from the best hit."""
+    return regions.gene_best_hit_distance(results_d(spark, d), genes_e(spark, d))
+
+
+@query(with_sql(D_SQL, E_SQL) + """, n as (select row_id, score, min(abs(d.pos - loci.pos)) as distance from d join loci using (chrom) group by all)
+select row_id, distance from n where score < (select max(score) from d join loci using (chrom, pos)) order by distance desc, row_id limit 1""")
+def farthest_stronger(spark: SparkSession, d: str) -> DataFrame:
+    """The result farthest from the causal loci among those stronger than the weakest of them."""
+    return regions.farthest_stronger(results_d(spark, d), loci_e(spark, d)).select("row_id", "distance")
+
+
+@query(with_sql(*_SORTED) + f""", g as (select i, score as o, (i + 0.5::double) / 202 as e from o join range(1, 201) as t(i) on k = floor(n * i / 202))
+select {s("sum((b.e - a.e) * abs((a.o - a.e) + (b.o - b.e)) / 2)")} as area from g as a join g as b on b.i = a.i + 1""")
+def quantile_area(spark: SparkSession, d: str) -> DataFrame:
+    """Area between observed and expected quantiles."""
+    q = ranking.quantile_grid(results_d(spark, d), 200).join(ranking.expected_grid(spark, 201), "i")
+    return rounded(ranking.area_between(q), "area")
+
+
+_ENV = """c2 as (select *, case when value > 40 then 'high' else 'low' end as env from c)"""
+
+
+def _environments(spark: SparkSession, d: str) -> DataFrame:
+    return phenotypes_c(spark, d).withColumn("env", F.when(F.col("value") > 40, "high").otherwise("low"))
+
+
+@query(with_sql(C_SQL, _ENV) + f"select phen_id, env, indiv_id, {s('avg(value)')} as mean, {s('median(value)')} as median, count(*) as n from c2 group by all")
+def environment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean, median and replicates per trait, environment and individual."""
+    return rounded(traits.environment_summary(_environments(spark, d)), "mean", "median")
+
+
+@query(with_sql(C_SQL, _ENV) + f", v as (select phen_id, env, indiv_id, avg(value) as v from c2 group by all) select a.phen_id, {s('corr(a.v, b.v)')} as correlation, count(*) as n from v as a join v as b on a.phen_id = b.phen_id and a.indiv_id = b.indiv_id and a.env = 'high' and b.env = 'low' group by a.phen_id")
+def environment_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(traits.environment_correlation(traits.environment_summary(_environments(spark, d)), "high", "low"), "correlation")
+
+
+@query(with_sql(C_SQL) + "select phen_id, count(*) as n_values, count(distinct indiv_id) as n_individuals from c group by all")
+def trait_list(spark: SparkSession, d: str) -> DataFrame:
+    return traits.trait_list(phenotypes_c(spark, d)).select("phen_id", "n_values", "n_individuals")
+
+
+@query(with_sql(B_SQL) + """, o as (select marker_id, floor(avg(g) + 0.5)::int as v from bm group by all) select marker_id, sum(coalesce(g, v))::double as total from bm join o using (marker_id) group by all""")
+def impute_rounded_mean(spark: SparkSession, d: str) -> DataFrame:
+    p = markers.impute_rounded_mean(panel_b(spark, d, gaps=True)[0])
+    return p.markers.select("marker_id", markers.total().alias("total"))
+
+
+@query(with_sql(A_SQL) + "select haplotype, count(*) as n from (select string_agg(g::varchar, ',' order by marker_id) as haplotype from a where marker_id < 4 group by vec_id) group by all")
+def haplotype_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Haplotypes over the first four markers."""
+    return markers.haplotype_counts(markers.keep_where(panel_a(spark, d)[0], F.col("marker_id") < 4))
+
+
+@query()
+def simulated_genotypes(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.genotypes(spark, 100, 1000).markers
+
+
+@query("""with v as (select chrom, scored_at, date_trunc('day', scored_at)::timestamp as day, score from results where score is not null and not isnan(score)),
+  g as (select chrom, day, count(*) as n, max(score) as best_score from v group by chrom, day)
+select chrom, strftime(day, '%Y-%m-%d') as day, n, best_score from g where day + interval 1 day <= (select max(scored_at) from v)""")
+def streamed_daily_best(spark: SparkSession, d: str) -> DataFrame:
+    """Best score per chromosome and day from a stream over the result table; the day that isn't over is held back."""
+    path = f"{d}/results.parquet"
+    source = spark.readStream.schema(table(spark, d, "results").schema).parquet(f"{d}/results*.parquet" if _is_file(spark, path) else path)
+    out, mark = scratch_path(spark, "daily"), scratch_path(spark, "daily-mark")
+    q = daily_best(source, late="0 seconds").writeStream.format("parquet").option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    found = spark.read.schema("chrom int, day timestamp, n long, best_score double").parquet(out)
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,28 @@ from .text import fields, first_lines, guess_delimiter, numbered_lines
 _RESULT_NAMES = {"chromosomes": "chrom", "positions": "pos", "scores": "score", "mafs": "maf", "macs": "mac"}
 
 
+@dataclass(frozen=True)
+class ResultKind:
+    """Where the result files of one analysis lie, and whether their scores want a logarithm."""
+
+    method: str
+    directory: str
+    dataset: str = ""
+    extension: str = ".pvals"
+    log_transform: bool | None = None
+
+    def path(self, phen_id: int, phen_name: str, second_run: bool = False) -> str:
+        middle = f"{self.dataset}_" if self.dataset else ""
+        return f"{self.directory.rstrip('/')}/{self.method}_{middle}{phen_id}_{phen_name}{'.run2' if second_run else ''}{self.extension}"
+
+    @property
+    def wants_log(self) -> bool:
+        return self.extension == ".pvals" if self.log_transform is None else self.log_transform
+
+    def __str__(self) -> str:
+        return f"{self.method} {self.dataset}".strip()
+
+
 def read_result(spark: SparkSession, path: str, delim: str | None = None) -> DataFrame:
     """A result file of numbers: row_id, chrom, pos, score, maf, mac and its other columns.
 

@@ -10,7 +10,7 @@ from ..operators.markers import mac, maf, missing_rate
 
 def daily_best(results: DataFrame, time: str = "scored_at", late: str = "2 days") -> DataFrame:
     """chrom, day, n, best score of a stream of results; rows later than ``late`` are left out."""
-    ok = results.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    ok = results.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn(time, F.col(time).cast("timestamp"))
     return (
         ok.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), "chrom")
         .agg(F.count("*").alias("n"), F.max("score").alias("best_score"))
@@ -28,4 +28,4 @@ def marker_quality(markers: DataFrame, data_format: str = "diploid_int", calls:
 
 def distinct_loci(results: DataFrame, time: str = "scored_at", late: str = "2 days") -> DataFrame:
     """A stream without rows that repeat run, locus and score within the watermark."""
-    return results.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "chrom", "pos", "score"])
+    return results.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "chrom", "pos", "score"])

@@ -27,7 +27,7 @@ def test_tail_identities():
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.floats(0.2, 80), st.floats(0.2, 80), st.floats(0, 1))
+@given(st.floats(0.2, 80), st.floats(0.2, 80), st.floats(0.01, 0.99))
 def test_beta_symmetry(a, b, x):
     v = float(D.betainc(a, b, x))
     assert 0 <= v <= 1 and v == pytest.approx(1 - float(D.betainc(b, a, 1 - x)), abs=1e-9)
