@@ -417,13 +417,13 @@ _SURE = re.compile(
     r"|<!--\s*(?:begin|end|insert|todo|placeholder)\b[^<>]{0,60}-->"
     r"|%\(" + _ID + r"\)[sdf]"
     r"|(?<![\w.:])i18n:[\w.]+"
-    r"|\[object Object\]",
+    r"|\[object Object\]|&lt;\s?" + _ID + r"\s?&gt;|%7B%7B[\w.]+%7D%7D",
     re.IGNORECASE,
 )
 #: A name between delimiters that also have other uses.
 _NAMED = re.compile(
     r"(?<![<\w])<(?P<a>" + _ID + r")>(?!>)|(?<![\[\w])\[(?P<b>" + _ID + r"|(?:[A-Z][a-z]+ )+[A-Z][a-z]+)\](?![\](])"
-    r"|(?<![{$#%\w\\])\{(?P<c>" + _ID + r"|[0-9]?|:[.0-9]*[a-z])\}(?!\})"
+    r"|(?<![{$#%\w\\])\{(?P<c>" + _ID + r"|[0-9]?(?::[^{}\s]{1,8})?)\}(?!\})"
     r"|(?<![\w%])%(?P<d>" + _ID + r")%(?!\w)|(?<![\w$])\$(?P<e>" + _ID + r")\$(?!\w)"
     r"|(?<![\w_])__(?P<f>" + _ID + r")__(?![\w_])"
     r"|(?<![\w%])%(?P<g>[sd])(?![\w%])"

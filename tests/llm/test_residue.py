@@ -8,7 +8,7 @@ REAL = "The lead marker explains 12.5% of the variance, and its minor allele is
 FOUND = [
     "Dear {{name}}, your seeds were sent.", "The peak at ${pos} is gone.", "We removed [INSERT n_lines HERE] markers.", "Sow <insert count> seeds per tray.", "Score (fill in trait) on day 4.",
     "Line: ________ Site: ________", "XXXX plants were scored at XX degrees.", "A value of %p_value% was found.", "It depends on __trait_name__ alone.", "Held at [[title]] for long.", "Kept in @@site@@ for now.",
-    "The {% summary %} follows.", "Rows <%= n %> of many.", "#{lead_snp} vanished.", "Near <n_lines> lines.", "Carries a [collection_year] polymorphism.", "An \\{\\{author\\}\\} effect.", "i18n:report.value plants stood there.",
+    "The {% summary %} follows.", "Rows <%= n %> of many.", "#{lead_snp} vanished.", "Near <n_lines> lines.", "Carries a [collection_year] polymorphism.", "An \\{\\{author\\}\\} effect.", "i18n:report.value plants stood there.", "Near &lt;GENE_NAME&gt; it vanished.", "A mean of {0:.2f} was found.", "Gone at {}.",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Coming soon.", "Replace this text with the abstract.", "Your figure caption goes here.", "Dies ist nur Blindtext.", "Hier steht später der richtige Text.",
     "Texte de remplissage, à remplacer avant la publication.", "Texto de relleno, pendiente del contenido definitivo.", "blah blah blah", "This paragraph only fills space until the real text arrives.",
     "404 Not Found", "403 Forbidden\nYou do not have permission to open this record.", "503 SERVICE UNAVAILABLE", "Your session has expired", "Too many requests from your address, slow down.", "Seite nicht gefunden", "Accès refusé",
