@@ -119,9 +119,9 @@ def emmax_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def emma_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Exact mixed model for the markers of the first chromosome."""
+    """Exact mixed model for every marker."""
     p, y = panel_a(spark, d)
-    return scan.emma(markers.region(p, 1), y, K.ibs_kinship(p))
+    return scan.emma(p, y, K.ibs_kinship(p))
 
 
 @query()
@@ -218,13 +218,13 @@ def scaled_kinship(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql(*_PAIRS_A) + f"""select chrom, i, j, {s('(total - own) / (m - own_m)')} as k from (
   select chrom, i, j, own, own_m, sum(own) over (partition by i, j) as total, sum(own_m) over (partition by i, j) as m from (
-    select a.chrom, a.vec_id as i, b.vec_id as j, sum(a.z * b.z) as own, count(*) as own_m from z as a join z as b using (marker_id) where a.z is not null and b.vec_id < 25 group by all))""")
+    select a.chrom, a.vec_id as i, b.vec_id as j, sum(a.z * b.z) as own, count(*) as own_m from z as a join z as b using (marker_id) where a.z is not null group by all))""")
 def rest_kinship(spark: SparkSession, d: str) -> DataFrame:
-    """Kinship of the other chromosomes by subtraction, as used in variance tests; columns of 25 individuals are reported."""
+    """Kinship of the other chromosomes by subtraction, as used in variance tests."""
     p, _ = panel_a(spark, d)
     out = None
     for c, (_, rest) in K.chromosome_kinships(p, "ibd", scaled=False).items():
-        m = _matrix(spark, rest, p).filter("j < 25").select(F.lit(c).cast("int").alias("chrom"), "*")
+        m = _matrix(spark, rest, p).select(F.lit(c).cast("int").alias("chrom"), "*")
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -619,15 +619,15 @@ def candidate_priors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panels.candidate_priors(results_d(spark, d), genes_e(spark, d)), "prior", digits=10)
 
 
-@query(with_sql(D_SQL) + f""", p as (select chrom, pos, score as prior from d where row_id % 500 = 0), j as (
+@query(with_sql(D_SQL) + f""", p as (select chrom, pos, score as prior from d where row_id % 997 = 0), j as (
   select d.chrom, d.pos, b.pos as bp, b.prior as bv, a.pos as ap, a.prior as av from d asof left join p as b on b.chrom = d.chrom and d.pos >= b.pos asof left join p as a on a.chrom = d.chrom and d.pos <= a.pos
 ), i as (select chrom, pos, case when bp is null then av when ap is null then bv when ap > bp then bv + (av - bv) * (pos - bp) / (ap - bp) else bv end as raw from j),
   v as (select chrom, pos, 1 + 1000 * (coalesce(raw, lo) - lo) / (hi - lo) as v from i, (select min(raw) as lo, max(raw) as hi from i))
 select chrom, pos, {s('v * 10 / (select sum(v) from v)', 8)} as prior from v""")
 def interpolated_priors(spark: SparkSession, d: str) -> DataFrame:
-    """Priors interpolated between the prior points of every 500th order, which the fixture defines."""
+    """Priors interpolated between the causal loci, whose scores are the prior points."""
     x = results_d(spark, d)
-    pts = x.filter(F.col("row_id") % 500 == 0).select("chrom", "pos", F.col("score").alias("prior"))
+    pts = x.join(loci_e(spark, d), ["chrom", "pos"], "left_semi").select("chrom", "pos", F.col("score").alias("prior"))
     return rounded(panels.interpolated_priors(x, pts), "prior", digits=8)
 
 
@@ -648,9 +648,9 @@ def star_labels(spark: SparkSession, d: str) -> DataFrame:
     return frames.star_labels(m, 100_000)
 
 
-@query(with_sql(D_SQL) + "select row_id from d where chrom = 1 and score <= 0.01")
+@query(with_sql(D_SQL) + "select row_id from d where score <= 0.01")
 def filter_attribute(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.filter_attribute(results_d(spark, d).filter("chrom = 1"), "score", 0.01, reverse=True).select("row_id")
+    return ranking.filter_attribute(results_d(spark, d), "score", 0.01, reverse=True).select("row_id")
 
 
 # ------------------------------------------------------- variance and prediction
@@ -713,12 +713,14 @@ def stored_gwas(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ further results
 
-_TWO_RESULTS = (D_SQL, "x as (select * from d where row_id % 3 <> 0), y as (select row_id, chrom, pos, 1 - score as score from d where row_id % 4 <> 0)")
+_TWO_RESULTS = (D_SQL, "o as (select d.*, o_orderstatus as status from d join orders on o_orderkey = row_id), x as (select * exclude (status) from o where status in ('F', 'O')), y as (select row_id, chrom, pos, 1 - score as score from o where status in ('O', 'P'))")
 
 
 def _two_results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = results_d(spark, d)
-    return x.filter("row_id % 3 <> 0"), x.filter("row_id % 4 <> 0").withColumn("score", 1 - F.col("score"))
+    """Results of finished and open, and of open and pending orders; the second with turned scores."""
+    x = results_d(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus"), "row_id")
+    a, b = x.filter("o_orderstatus in ('F', 'O')"), x.filter("o_orderstatus in ('O', 'P')")
+    return a.drop("o_orderstatus"), b.drop("o_orderstatus").withColumn("score", 1 - F.col("score"))
 
 
 @query(with_sql(*_TWO_RESULTS) + """, tx as (select chrom, pos from x where score < (select score from (select score, row_number() over (order by score, row_id) - 1 as k from x) where k = (select floor(count(*) * 0.1) from x))),
@@ -787,10 +789,10 @@ def impute_rounded_mean(spark: SparkSession, d: str) -> DataFrame:
     return p.markers.select("marker_id", markers.total().alias("total"))
 
 
-@query(with_sql(A_SQL) + "select haplotype, count(*) as n from (select string_agg(g::varchar, ',' order by marker_id) as haplotype from a where marker_id < 4 group by vec_id) group by all")
+@query(with_sql(A_SQL) + "select haplotype, count(*) as n from (select string_agg(g::varchar, ',' order by marker_id) as haplotype from a where chrom = 1 group by vec_id) group by all")
 def haplotype_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Haplotypes over the first four markers."""
-    return markers.haplotype_counts(markers.keep_where(panel_a(spark, d)[0], F.col("marker_id") < 4))
+    """Haplotypes over a chromosome."""
+    return markers.haplotype_counts(markers.region(panel_a(spark, d)[0], 1))
 
 
 @query()
@@ -815,3 +817,43 @@ def streamed_daily_best(spark: SparkSession, d: str) -> DataFrame:
 def _is_file(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+@query(with_sql(A_SQL) + f"""select g, count(*) as n, min(y) as min, {s('quantile_cont(y, 0.25)')} as q1, {s('median(y)')} as median, {s('quantile_cont(y, 0.75)')} as q3, max(y) as max from a where marker_id = 5 group by g""")
+def marker_box(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution of the trait by allele of one marker."""
+    p, y = panel_a(spark, d)
+    t = traits.phenotypes(spark, [(1, "label", x, float(v)) for x, v in zip(p.ids, y)])
+    pairs = panels.marker_trait_pairs(p, p.markers.filter("marker_id = 5"), t, 1)
+    return rounded(frames.box_by_allele(pairs).withColumn("g", F.col("g").cast("int")), "q1", "median", "q3")
+
+
+@query(with_sql(*_PAIRS_A, "p as (select ibs.i, ibs.j, ibs.k, (x.label - z2.label) ^ 2 as d from ibs join embeddings x on x.vec_id = ibs.i join embeddings z2 on z2.vec_id = ibs.j where ibs.j < ibs.i)") + f"select {s('regr_slope(d, k)', 4)} as slope, {s('regr_intercept(d, k)', 4)} as intercept, {s('corr(d, k)')} as correlation, count(*) as n_pairs from p")
+def relatedness_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Squared trait difference against relatedness over pairs of individuals."""
+    p, y = panel_a(spark, d)
+    t = traits.phenotypes(spark, [(1, "label", x, float(v)) for x, v in zip(p.ids, y)])
+    f = variance.relatedness_fit(variance.relatedness_pairs(t, 1, K.ibs_kinship(p, scaled=False), p.ids))
+    return rounded(rounded(f, "slope", "intercept", digits=4), "correlation")
+
+
+@query()
+def aligned_gwas(spark: SparkSession, d: str) -> DataFrame:
+    """Mixed-model scan with replicated trait values, aligned by id."""
+    p, y = panel_a(spark, d)
+    t = traits.phenotypes(spark, [(1, "label", x, float(v) + k / 10) for x, v in zip(p.ids, y) for k in range(1 + int(x) % 2)])
+    return pipelines.mixed_model_gwas(p, t, 1)[0]
+
+
+@query()
+def quality_control(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the markers that pass missingness, frequency and relatedness filters."""
+    return markers.marker_stats(pipelines.quality_control(panel_b(spark, d, gaps=True)[0], max_marker_missing=0.2, min_maf=0.05, max_relatedness=None))
+
+
+@query()
+def gene_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Markers around two genes against the rest."""
+    p, y = panel_a(spark, d)
+    genes = spark.createDataFrame([("g1", 1, 3000, 6000), ("g2", 3, 9000, 12000)], "gene_id string, chrom int, start_pos long, end_pos long")
+    return variance.gene_scan(p, y, genes, 2000)

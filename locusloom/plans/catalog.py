@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import association, preparation
+from . import association, domain, preparation
 
 FLAGSHIP = "lm_scan"
-_MODULES = [association, preparation]
+_MODULES = [association, domain, preparation]
 
 
 def queries() -> dict:
