@@ -745,8 +745,8 @@ def gene_best_hit(spark: SparkSession, d: str) -> DataFrame:
     return regions.gene_best_hit_distance(results_d(spark, d), genes_e(spark, d))
 
 
-@query(with_sql(D_SQL, E_SQL) + """, n as (select row_id, score, min(abs(d.pos - loci.pos)) as distance from d join loci using (chrom) group by all)
-select row_id, distance from n where score < (select max(score) from d join loci using (chrom, pos)) order by distance desc, row_id limit 1""")
+@query(with_sql(D_SQL, E_SQL) + """, n as (select row_id, score, min(abs(d.chrom - loci.chrom)) as apart, min(abs(d.pos - loci.pos)) filter (d.chrom = loci.chrom) as near from d, loci group by all)
+select row_id, coalesce(near, -1) as distance from n where score < (select max(score) from d join loci using (chrom, pos)) order by apart desc, near desc nulls last, row_id limit 1""")
 def farthest_stronger(spark: SparkSession, d: str) -> DataFrame:
     """The result farthest from the causal loci among those stronger than the weakest of them."""
     return regions.farthest_stronger(results_d(spark, d), loci_e(spark, d)).select("row_id", "distance")
