@@ -182,6 +182,87 @@ def _complete(y, x, eig_k: Eigen, delta: float, vg: float, ll: float, whiten: bo
     return Fit(delta, vg, vg * delta, ll, 1 / (1 + delta), beta, float(r @ r), w, len(y), x.shape[1])
 
 
+def search_ratio(value, grids: int = 5, rounds: int = 5, low: float = -3, high: float = 3) -> tuple[float, float, float]:
+    """(share a, value, delta) of the greatest value(a) = (value, delta): nested grids over the log of a / (1 - a)."""
+    best: tuple[float, float, float] | None = None
+    for _ in range(rounds):
+        step = (high - low) / grids
+        for lr in np.linspace(low, high, grids + 1):
+            ll, delta = value(1 / (1 + math.exp(-lr)))
+            if best is None or ll > best[0]:
+                best = (ll, lr, delta)
+        low, high = best[1] - step, best[1] + step
+    return 1 / (1 + math.exp(-best[1])), best[0], best[2]
+
+
+class LocalAndRest:
+    """ML likelihood of y ~ a K_rest + (1 - a) K_local + delta I with an intercept, both matrices scaled.
+
+    total: decomposition of the mean kinship of all ``m_total`` markers; local:
+    sum over the m local ones. The rest is the difference, so in the basis of the
+    total the covariance is a diagonal plus r columns, r the rank of the local
+    matrix: a likelihood costs n r^2, and no matrix of the rest is decomposed.
+    """
+
+    def __init__(self, y: np.ndarray, total: Eigen, total_mean: np.ndarray, m_total: int, local: np.ndarray, m: int):
+        n = len(y)
+        mu, q = np.linalg.eigh(local / m)
+        keep = mu > 1e-10 * max(mu[-1], 1e-300)
+        self.lam, self.n = total.values, n
+        self.b = total.vectors.T @ (q[:, keep] * np.sqrt(mu[keep]))
+        self.yx = total.vectors.T @ np.column_stack([y, np.ones(n)])
+        rest = (total_mean * m_total - local) / (m_total - m)
+        scale = lambda k: (n - 1) / (np.trace(k) - k.sum() / n)
+        self.s_local, self.s_rest = scale(local / m), scale(rest)
+        self.grow, self.shrink = m_total / (m_total - m), m / (m_total - m)
+
+    @property
+    def rank(self) -> int:
+        return self.b.shape[1]
+
+    def ll(self, a: float, delta: float) -> float:
+        d = 1 / np.maximum(a * self.s_rest * self.grow * self.lam + delta, 1e-12)
+        beta = (1 - a) * self.s_local - a * self.s_rest * self.shrink
+        db = d[:, None] * self.b
+        inner = np.eye(self.rank) + beta * (self.b.T @ db)
+        sign, logdet = np.linalg.slogdet(inner)
+        if sign <= 0:
+            return -math.inf
+        z = db.T @ self.yx
+        g = self.yx.T @ (d[:, None] * self.yx) - beta * z.T @ np.linalg.solve(inner, z)
+        rss = g[0, 0] - g[0, 1] ** 2 / g[1, 1]
+        if rss <= 0:
+            return -math.inf
+        return 0.5 * (self.n * (math.log(self.n / (2 * math.pi)) - 1 - math.log(rss)) + float(np.log(d).sum()) - logdet)
+
+    def best_delta(self, a: float, grids: int = 25, low: float = -10, high: float = 10, rounds: int = 30) -> tuple[float, float]:
+        """(log-likelihood, delta) of the best delta: grid, then golden section around its best point."""
+        x = np.linspace(low, high, grids + 1)
+        v = [self.ll(a, math.exp(t)) for t in x]
+        i = int(np.argmax(v))
+        lo, hi = x[max(i - 1, 0)], x[min(i + 1, grids)]
+        gold = (math.sqrt(5) - 1) / 2
+        c, e = hi - gold * (hi - lo), lo + gold * (hi - lo)
+        fc, fe = self.ll(a, math.exp(c)), self.ll(a, math.exp(e))
+        for _ in range(rounds):
+            if fc > fe:
+                hi, e, fe = e, c, fc
+                c = hi - gold * (hi - lo)
+                fc = self.ll(a, math.exp(c))
+            else:
+                lo, c, fc = c, e, fe
+                e = lo + gold * (hi - lo)
+                fe = self.ll(a, math.exp(e))
+        return max((v[i], math.exp(x[i])), (fc, math.exp(c)), (fe, math.exp(e)))
+
+    def test(self) -> dict:
+        """The likelihood-ratio test of the local matrix, and the shares of the variance."""
+        ll0, _ = self.best_delta(1.0)
+        a, ll, delta = search_ratio(self.best_delta)
+        stat, h = max(0.0, 2 * (ll - ll0)), 1 / (1 + delta)
+        return {"stat": stat, "p_value": float(chi2_sf(stat, 1)), "perc_var1": h * a, "perc_var2": h * (1 - a), "pseudo_heritability": h}
+
+
 def fit_two(y: np.ndarray, k1: np.ndarray, k2: np.ndarray, x: np.ndarray | None = None, method: str = "REML", grids: int = 5, rounds: int = 5, low: float = -3, high: float = 3) -> dict:
     """Two covariance matrices: search of the ratio r in a K1 + (1 - a) K2, a = r / (1 + r).
 
@@ -190,17 +271,13 @@ def fit_two(y: np.ndarray, k1: np.ndarray, k2: np.ndarray, x: np.ndarray | None
     """
     k1, k2 = scale_k(np.asarray(k1, float)), scale_k(np.asarray(k2, float))
     x = np.ones((len(y), 1)) if x is None else x
-    best: tuple[float, float, Fit] | None = None
-    for _ in range(rounds):
-        step = (high - low) / grids
-        for lr in np.linspace(low, high, grids + 1):
-            a = 1 / (1 + math.exp(-lr))
-            f = fit(y, a * k1 + (1 - a) * k2, x, method, grids=50, whiten=False)
-            if best is None or f.ll > best[0]:
-                best = (f.ll, lr, f)
-        low, high = best[1] - step, best[1] + step
-    ll, lr, f = best
-    a = 1 / (1 + math.exp(-lr))
+
+    def value(a: float) -> tuple[float, float]:
+        f = fit(y, a * k1 + (1 - a) * k2, x, method, grids=50, whiten=False)
+        return f.ll, f.delta
+
+    a, ll, _ = search_ratio(value, grids, rounds, low, high)
+    f = fit(y, a * k1 + (1 - a) * k2, x, method, grids=50)
     return {"fit": f, "ll": ll, "share": a, "perc_var1": f.heritability * a, "perc_var2": f.heritability * (1 - a), "perc_error": 1 - f.heritability}
 
 

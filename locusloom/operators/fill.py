@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,11 +134,9 @@ def _call_stream(gap_limit: int, least_rows: int):
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < least_rows:
                 continue
-            last = tuple(held[c][-1].as_py() for c in ("k", "c", "seg"))
-            same = np.ones(held.num_rows, bool)
-            for c, v in zip(("k", "c", "seg"), last):
-                same &= np.array(held[c].to_pylist(), object) == v
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            other = [pc.not_equal(held[c], held[c][-1]) for c in ("k", "c", "seg")]
+            at = np.flatnonzero(pc.or_(pc.or_(other[0], other[1]), other[2]).to_numpy())
+            cut = int(at[-1]) + 1 if len(at) else 0
             if cut:
                 yield _fill_rows(held.slice(0, cut), gap_limit)
                 held = held.slice(cut)

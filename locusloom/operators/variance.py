@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf
-from ..functions.reml import blup, fit, fit_two, likelihood_ratio, scale_k
+from ..functions.reml import Eigen, LocalAndRest, blup, fit, fit_two, likelihood_ratio, scale_k
 from ..panel import Panel
 from .kinship import Gram, gram_table, grams, reorder
 from .regions import range_join
@@ -109,17 +109,20 @@ _RESULT = ("stat", "p_value", "perc_var1", "perc_var2", "pseudo_heritability")
 
 def _against_rest(panel: Panel, sums: DataFrame, y, total: Gram) -> DataFrame:
     """grp, n_markers and the test of each group's kinship against that of all other markers, one task per group."""
-    n, shared = panel.n, panel.spark.sparkContext.broadcast((np.asarray(y, float), total))
+    n = panel.n
+    eig = Eigen.of(total.mean())
+    shared = panel.spark.sparkContext.broadcast((np.asarray(y, float), total, eig))
 
     def run(it):
-        y, total = shared.value
+        y, total, eig = shared.value
         for pdf in it:
             for grp, m, k in zip(pdf["grp"], pdf["m"], pdf["k"]):
                 row = {"grp": grp, "n_markers": m}
                 if 0 < m < total.m:
                     local = np.frombuffer(k).reshape(n, n)
-                    rest = (total.k - local) / (total.m - m)
-                    row |= local_against_global(y, local / m, rest)
+                    model = LocalAndRest(y, eig, total.mean(), total.m, local, m)
+                    # beyond that rank a decomposition per ratio costs less than the rank's square per value
+                    row |= model.test() if model.rank <= max(16, n // 8) else local_against_global(y, local / m, (total.k - local) / (total.m - m))
                 else:
                     row |= dict.fromkeys(_RESULT, np.nan)
                 yield pd.DataFrame([row])

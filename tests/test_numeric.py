@@ -93,6 +93,27 @@ def test_whitening_blup_and_two_matrices():
     assert np.trace(k) - k.sum() / n == pytest.approx(n - 1)
 
 
+def test_low_rank_form_equals_dense_form():
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 2, (120, 50)).astype(float)
+    z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
+    y = g[3] + rng.normal(size=50)
+    total, local, m = z.T @ z, z[:7].T @ z[:7], 7
+    model = R.LocalAndRest(y, R.Eigen.of(total / 120), total / 120, 120, local, m)
+    k1, k2 = R.scale_k((total - local) / 113), R.scale_k(local / 7)
+    for a, delta in ((1.0, 0.5), (0.4, 2.0), (0.05, 0.1)):
+        v = a * k1 + (1 - a) * k2 + delta * np.eye(50)
+        w = np.linalg.inv(v)
+        x = np.ones(50)
+        r = y - x * (x @ w @ y) / (x @ w @ x)
+        s2 = r @ w @ r / 50
+        direct = -0.5 * (50 * math.log(2 * math.pi * s2) + 50 + np.linalg.slogdet(v)[1])
+        assert model.rank == 7 and model.ll(a, delta) == pytest.approx(direct, abs=1e-7)
+    dense, low = variance.local_against_global(y, local / 7, (total - local) / 113), model.test()
+    for c in dense:
+        assert low[c] == pytest.approx(dense[c], abs=2e-3)
+
+
 def rss(x, y):
     b = np.linalg.lstsq(x, y, rcond=None)[0]
     return float(((y - x @ b) ** 2).sum())
