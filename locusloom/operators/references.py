@@ -35,9 +35,9 @@ def clean_key(col: Column | str) -> Column:
     zeros, compare by value; everything else regardless of case.
     """
     c = F.col(col) if isinstance(col, str) else col
-    t = F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
-    number = F.regexp_extract(t, r"^0*([0-9]+?)(\.0+)?$", 1)
-    key = F.when(t.rlike(r"^[0-9]+(\.0+)?$"), number).otherwise(F.lower(t))
+    t = F.regexp_replace(c, r"\A[ \t]+|[ \t]+\z", "")
+    number = F.regexp_extract(t, r"\A0*([0-9]+?)(\.0+)?\z", 1)
+    key = F.when(t.rlike(r"\A[0-9]+(\.0+)?\z"), number).otherwise(F.lower(t))
     return F.when((t != "") & (F.lower(t) != "na"), key)
 
 
