@@ -431,6 +431,7 @@ _NAMED = re.compile(
 #: Output of a failed web application, which has no other reason to be in a text.
 _TRACE = re.compile(r"\bat\s+[\w.$]+\(\s*\w+\.java:\d+\)|\bin\s+\S+\.(?:php|inc)\s+on\s+line\s+\d+|\bcall\s+to\s+undefined\s+(?:function|method)\b", re.IGNORECASE)
 _BLANKS_TO_FILL = re.compile(r"(?<![\w_])_{4,}(?![\w_])|(?<!\w)X{4,}(?!\w)|\bXX (?:degrees|days|plants|lines|percent|hours|cm|mm)\b|(?<![\w.])\.{6,}(?![\w.])")
+_PERCENT = re.compile(r"%[A-Za-z]")
 _RULE_LINE = re.compile(r"^[\s_=*.-]+$")
 _CODE = re.compile(r"```.*?```|`[^`\n]*\n?[^`\n]*`", re.DOTALL)
 _QUOTED = re.compile(r"'[^'\n]{0,60}'|\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»")
@@ -453,13 +454,28 @@ def _sentence(text: str, at: int, end: int) -> str:
     return text[low : m.start() if m else len(text)]
 
 
+def _possible(text: str) -> list[re.Pattern]:
+    """The patterns whose delimiters occur in a text at all."""
+    low = text.lower()
+    common = "{" in text or "<" in text or "[" in text
+    out = []
+    if common or any(x in low for x in ("@@", "%(", "%7b", "i18n:", "&lt;", "(fill in", "(insert", "(enter", "(to be filled")):
+        out.append(_SURE)
+    if common or "$" in text or "__" in text or _PERCENT.search(text):
+        out.append(_NAMED)
+    if "____" in text or "XX" in text or "......" in text:
+        out.append(_BLANKS_TO_FILL)
+    return out
+
+
 def placeholder(text: str) -> str | None:
     """The first unfilled field of a text."""
-    if not any(c in text for c in "{<[_%$@(X:."):
+    kinds = _possible(text)
+    if not kinds:
         return None
     hidden = [m.span() for m in _CODE.finditer(text)] if "`" in text else []
     quoted: list[tuple[int, int]] | None = None
-    for kind in (_SURE, _NAMED, _BLANKS_TO_FILL):
+    for kind in kinds:
         for m in kind.finditer(text):
             a, b = m.span()
             if any(x <= a and b <= y for x, y in hidden):
@@ -491,7 +507,8 @@ def residue(text: str | None, min_coverage: float = 0.6) -> tuple[str, str] | No
     found = placeholder(text)
     if found:
         return "placeholder", found[:120]
-    trace = _TRACE.search(text)
+    low = text.lower()
+    trace = _TRACE.search(text) if ".java:" in low or "line" in low and (".php" in low or ".inc" in low) or "undefined" in low else None
     if trace and not any(q.start() < trace.start() and trace.end() < q.end() for k in (_CODE, _QUOTED) for q in k.finditer(text)):
         return "message", trace.group(0)[:120]
     tokens = _tokens(text)
