@@ -330,7 +330,7 @@ def _refuse(*given):
 
 def parse_lines(
     lines: DataFrame, layouts: DataFrame, kind: str, id_col: str = "line_id", text_col: str = "raw_snps",
-    layout_col: str = "layout_id", block: int = 256, leaf: int = 8,
+    layout_col: str = "layout_id", block: int = 256, leaf: int = 16,
 ) -> DataFrame:
     """Every line as one row: typed values where it is valid, else the reason.
 
