@@ -7,8 +7,9 @@ pieces of all passages are searched with one automaton per block of items, and
 around each hit the passage is verified with bit-parallel edit distance over
 words. Documents are read once per block of items and never shuffled.
 
-Blocks keep what is broadcast bounded by ``block_words``; a larger test set costs
-further passes over the corpus, not more memory.
+Blocks keep what is broadcast bounded by ``block_words``, whose automaton takes some
+hundred MB in a worker; a larger test set costs further passes over the corpus,
+not more memory.
 
 Defined cases: NULL or empty texts have no words and match nothing; an item of
 fewer than ``window`` words must match as a whole; an item with no more words
@@ -135,7 +136,7 @@ def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[int, str]]]:
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 1, doc_id: str = "doc_id",
-    item_id: str = "item_id", text: str = "text", block_words: int = 2_000_000,
+    item_id: str = "item_id", text: str = "text", block_words: int = 100_000,
 ) -> DataFrame:
     """doc_id, item_id, distance, doc_word, item_word, n_words; one row per pair.
 
