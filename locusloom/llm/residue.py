@@ -56,7 +56,7 @@ to (continue|go on|proceed) (please|) {_ENABLE} {_JS}
 because {_JS} (is|are) {_OFF}
 if you (can read|can see|see|are reading|are seeing) this (text|line|message|page|sentence)
 {_JS} (files|) (could|can) not be loaded
-{_JS} (files|) (were|was|are) not loaded
+{_JS} (files|) (were|was|are|is) (not loaded|blocked|disabled|switched off|turned off)
 your {_CLIENT} has (them|it|{_JS}) (switched|turned) off
 your {_CLIENT} (does not|doesn t) support {_JS}
 your {_CLIENT} (is|seems) (not|no longer) supported
@@ -100,6 +100,7 @@ comprobando su navegador
 
 ERROR_MESSAGES = """
 (error|http|http error|http status|erreur|fehler|estado|statut|status|code) 9
+http 9 9 9
 (error|) 9 (not found|forbidden|bad request|unauthorized|internal server error|bad gateway|service unavailable|gateway timeout|gateway time out|too many requests|request timeout|gone|method not allowed|service temporarily unavailable)
 (page|file|document|record|url|resource) not found
 not found
@@ -261,6 +262,8 @@ then (reload|refresh|try again)
 (to|before you can|before you|so that you can|if you want to|in order to) (view|see|use|display|read|open|load|show|run|access|browse) (the|this|our|these) {_PLACE}
 in (your|this) {_CLIENT}
 (for|on|of) this {_PLACE}
+before (going live|you go live|publishing|publication|saving|you publish|you save)
+that did not work
 (before|) (opening|accessing|entering|showing|loading) (the|this) {_PLACE}
 (it looks like|it seems that|it appears that|we are sorry but|please wait)
 (please|) try again (later|in a few minutes|in a moment|in a few moments|shortly|soon) (or contact support|or contact the administrator|or write to support|)

@@ -13,7 +13,7 @@ FOUND = [
     "Texte de remplissage, à remplacer avant la publication.", "Texto de relleno, pendiente del contenido definitivo.", "blah blah blah", "This paragraph only fills space until the real text arrives.",
     "404 Not Found", "403 Forbidden\nYou do not have permission to open this record.", "503 SERVICE UNAVAILABLE", "Your session has expired", "Too many requests from your address, slow down.", "Seite nicht gefunden", "Accès refusé",
     "La sesión ha caducado\nInténtelo de nuevo más tarde.", "Error establishing a database connection", "The upstream server did not answer\nin time.", "Application error: a server-side exception has occurred",
-    "Please enable JavaScript to view this page.", "Checking your browser before opening the archive.", "Loading...", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Ce site nécessite JavaScript pour fonctionner.",
+    "Please enable JavaScript to view this page.", "Checking your browser before opening the archive.", "If you see this message, JavaScript files were blocked.", "Replace this block before going live.", "HTTP/1.1 503", "Loading...", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Ce site nécessite JavaScript pour fonctionner.",
     "Esta aplicación requiere JavaScript.", "Your browser is not supported, please upgrade it to see the viewer.", "Enable JS and disable any ad blocker to go on.", "The content could not be shown because active\nscripting is turned off.",
 ]
 CLEAN = [
