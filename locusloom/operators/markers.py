@@ -80,11 +80,11 @@ def maf(data_format: str = "binary", calls: Column | str = "calls") -> Column:
     return F.try_divide(mac(data_format, calls), n_typed(calls))
 
 
-def marker_stats(panel: Panel) -> DataFrame:
-    """marker_id, chrom, pos, n_typed, n_missing, missing_rate, n_alleles, mean, mac, maf."""
+def marker_stats(panel: Panel, *more: str) -> DataFrame:
+    """marker_id, more columns of the markers, chrom, pos, n_typed, n_missing, missing_rate, n_alleles, mean, mac, maf."""
     f = panel.data_format
     return panel.markers.select(
-        "marker_id", "chrom", "pos", n_typed().alias("n_typed"), n_missing().alias("n_missing"), missing_rate().alias("missing_rate"),
+        "marker_id", *more, "chrom", "pos", n_typed().alias("n_typed"), n_missing().alias("n_missing"), missing_rate().alias("missing_rate"),
         F.size(alleles()).alias("n_alleles"), (mean_call() if f != "nucleotides" else F.lit(None).cast("double")).alias("mean"), mac(f).alias("mac"), maf(f).alias("maf"),
     )
 

@@ -150,8 +150,10 @@ def scan_replication(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stored_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of the most common batch as a panel."""
-    x = stored_calls(spark, d).filter("data_format = 'diploid_int'")
-    batch = x.groupBy("call_batch").count().orderBy(F.col("count").desc(), "call_batch").first()
-    name = batch.call_batch if batch else ""
-    return markers.marker_stats(Panel(x.filter(F.col("call_batch") == name), [str(k) for k in range(80)], "diploid_int"))
+    """Statistics of every stored marker with calls, those of each batch and format as a panel."""
+    x = stored_calls(spark, d)
+    diploid = F.col("data_format").eqNullSafe("diploid_int")
+    ids = [str(k) for k in range(80)]
+    # batches of a format differ in their individuals only, on which these statistics don't depend, so one pass serves them all
+    one = lambda rows, f: markers.marker_stats(Panel(rows, ids, f), "call_batch", "data_format")
+    return one(x.filter(diploid), "diploid_int").unionByName(one(x.filter(~diploid), "binary"))
