@@ -848,7 +848,7 @@ def aligned_gwas(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def quality_control(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the markers that pass missingness, frequency and relatedness filters."""
-    return markers.marker_stats(pipelines.quality_control(panel_b(spark, d, gaps=True)[0], max_marker_missing=0.2, min_maf=0.05, max_relatedness=None))
+    return markers.marker_stats(pipelines.quality_control(panel_b(spark, d, gaps=True)[0], max_marker_missing=0.2, min_maf=0.05))
 
 
 @query()
