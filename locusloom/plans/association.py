@@ -694,14 +694,13 @@ def window_variance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gxe_simulation(spark: SparkSession, d: str) -> DataFrame:
     """Simulated trait pairs as environments."""
-    return pipelines.gxe_simulation(spark, 60, 300, 1)
+    return pipelines.gxe_simulation(spark)
 
 
 @query()
 def simulated_gwas(spark: SparkSession, d: str) -> DataFrame:
-    """Linear scan of a simulated trait."""
-    p, t = simulate.dataset(spark, 200, 2000, 1, 10)
-    return pipelines.linear_gwas(p, t, 1)
+    """Linear scans of all simulated traits."""
+    return pipelines.simulated_gwas(spark)
 
 
 @query()

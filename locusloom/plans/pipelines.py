@@ -99,6 +99,16 @@ def gxe_simulation(spark: SparkSession, n_indivs: int = 200, n_markers: int = 10
     return out
 
 
+def simulated_gwas(spark: SparkSession, n_indivs: int = 200, n_markers: int = 10_000, n_pairs: int = 10, n_causal: int = 10, h2: float = 0.8, seed: int = 0) -> DataFrame:
+    """phen_id and results of a linear scan of every trait of the simulated pairs."""
+    panel, phens = simulate.dataset(spark, n_indivs, n_markers, n_pairs, n_causal, h2, seed)
+    out = None
+    for phen_id in range(1, 2 * n_pairs + 1):
+        r = linear_gwas(panel, phens, phen_id).select(F.lit(phen_id).alias("phen_id"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def variance_demo(panel: Panel, phens: DataFrame, phen_id: int, half_width: int = 500_000, step: int = 250_000) -> DataFrame:
     """Box-Cox transformation, then a local-against-global variance scan."""
     t = transform(phens.filter(F.col("phen_id") == phen_id), "box_cox")
