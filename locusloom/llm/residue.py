@@ -405,19 +405,28 @@ def _segments(text: str) -> Iterator[tuple[str, bool]]:
 # --------------------------------------------------------------- placeholders
 
 _ID = r"[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)*"
-#: Delimiters that mark a field beyond doubt, with any name or none in them.
+
+
+def _upto(delimiters: str) -> str:
+    """Text of any length without these delimiters and without a paragraph break."""
+    return rf"[^{delimiters}\n]*+(?:\n(?![^\S\n]*\n)[^{delimiters}\n]*+)*"
+
+
+_BRACES, _ANGLES, _SQUARES = _upto("{}"), _upto("<>"), _upto(r"\[\]")
+#: Delimiters that mark a field beyond doubt, with any name or none in them. A field ends at its own closing delimiter, at most at the paragraph's end.
 _SURE = re.compile(
-    r"\{\{\{?[^{}\n]{0,60}\n?[^{}\n]{0,60}\}?\}\}"
-    r"|\\\{\\?\{[^{}\n]{0,60}\n?[^{}\n]{0,60}\\\}\\?\}"
-    r"|[$#]\{[^{}\n]{0,60}\}"
-    r"|<%[=-]?[^%<>]{0,60}%>|\{%[^%{}]{0,60}%\}|<\?php\b[^<>]{0,80}\?>|<\?=[^<>]{0,80}\?>"
+    r"\{\{\{?" + _BRACES + r"\}?\}\}"
+    r"|\\\{\\?\{" + _BRACES + r"(?<=\\)\}\\?\}"
+    r"|[$#]\{" + _BRACES + r"\}"
+    r"|<%[=-]?" + _upto("%<>") + r"%>|\{%" + _upto("%{}") + r"%\}|<\?php\b" + _ANGLES + r"(?<=\?)>|<\?=" + _ANGLES + r"(?<=\?)>"
     r"|@@\s?" + _ID + r"\s?@@|<<\s?" + _ID + r"\s?>>|\[\[\s?" + _ID + r"\s?\]\]"
-    r"|<\s?(?:insert|enter|your|add|put|name of|type)\b[^<>]{0,60}>"
-    r"|\((?:fill in|insert|enter|to be filled in)\b[^()]{0,60}\)"
-    r"|\[\s?(?:TODO|TBD|FIXME|TBA)\s?:[^\[\]]{0,80}\]"
-    r"|\[\s?(?:insert|enter|your|add|put|type|write|fill in|name of|description of|replace)\b[^\[\]]{0,80}\]"
-    r"|\[\s?(?:hier\b|escriba|inserte|introduzca|indique|insérer|insérez|saisir|saisissez|indiquer|écrire|einfügen|eintragen|bitte\b|[^\[\]]{0,60}(?:eintragen|einfügen|einsetzen)\s?\])[^\[\]]{0,80}\]?"
-    r"|<!--\s*(?:begin|end|insert|todo|placeholder)\b[^<>]{0,60}-->"
+    r"|<\s?(?:insert|enter|your|add|put|name of|type)\b" + _ANGLES + r">"
+    r"|\((?:fill in|insert|enter|to be filled in)\b" + _upto("()") + r"\)"
+    r"|\[\s?(?:TODO|TBD|FIXME|TBA)\s?:" + _SQUARES + r"\]"
+    r"|\[\s?(?:insert|enter|your|add|put|type|write|fill in|name of|description of|replace)\b" + _SQUARES + r"\]"
+    r"|\[\s?(?:hier\b|escriba|inserte|introduzca|indique|insérer|insérez|saisir|saisissez|indiquer|écrire|einfügen|eintragen|bitte\b)(?:" + _SQUARES + r"\])?"
+    r"|\[" + _SQUARES + r"(?:(?<=eintragen)|(?<=einfügen)|(?<=einsetzen)|(?<=eintragen\s)|(?<=einfügen\s)|(?<=einsetzen\s))\]"
+    r"|<!--\s*(?:begin|end|insert|todo|placeholder)\b" + _ANGLES + r"(?<=--)>"
     r"|%\(" + _ID + r"\)[sdf]"
     r"|(?<![\w.:])i18n:[\w.]+"
     r"|\[object Object\]|&lt;\s?" + _ID + r"\s?&gt;|%7B%7B[\w.]+%7D%7D",
@@ -471,6 +480,16 @@ def _possible(text: str) -> list[re.Pattern]:
     return out
 
 
+#: A field up to this long, and on one line, leaves quotations and code around it as they are matched.
+_SHORT = 60
+
+
+def _around(text: str, a: int, b: int, kinds: tuple[re.Pattern, ...]) -> bool:
+    """Whether quotations or code hold a long field, whose own length and lines don't count."""
+    cut = text[: a + 1] + text[b - 1 :]
+    return any(q.start() < a and a + 2 < q.end() for k in kinds for q in k.finditer(cut))
+
+
 def placeholder(text: str) -> str | None:
     """The first unfilled field of a text."""
     kinds = _possible(text)
@@ -493,6 +512,8 @@ def placeholder(text: str) -> str | None:
                 line = text[text.rfind("\n", 0, a) + 1 : (text.find("\n", b) + 1 or len(text) + 1) - 1]
                 if _RULE_LINE.match(line):
                     continue
+            if kind is _SURE and (b - a > _SHORT or "\n" in m.group(0)) and _around(text, a, b, (_CODE, _QUOTED)):
+                continue
             if quoted is None:
                 quoted = [q.span() for q in _QUOTED.finditer(text)]
             if any(x < a and b < y for x, y in quoted):
