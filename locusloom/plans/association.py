@@ -172,14 +172,14 @@ def pair_tests(spark: SparkSession, d: str) -> DataFrame:
 def stepwise_linear(spark: SparkSession, d: str) -> DataFrame:
     """Forward and backward linear search."""
     p, y = panel_a(spark, d)
-    return stepwise.stepwise_linear(p, y, 5).table()
+    return stepwise.stepwise_linear(p, y).table()
 
 
 @query()
 def multi_locus(spark: SparkSession, d: str) -> DataFrame:
     """Multi-locus mixed model."""
     p, y = panel_a(spark, d)
-    return stepwise.multi_locus_mixed_model(p, y, K.ibs_kinship(p), 5).table()
+    return stepwise.multi_locus_mixed_model(p, y, K.ibs_kinship(p)).table()
 
 
 # ------------------------------------------------------------------ kinship
@@ -674,7 +674,7 @@ def trait_blups(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cross_validated_blup(spark: SparkSession, d: str) -> DataFrame:
     p, y = panel_a(spark, d)
-    return variance.prediction_accuracy(variance.cross_validated_blup(spark, y, K.ibd_kinship(p), 5, 4))
+    return variance.prediction_accuracy(variance.cross_validated_blup(spark, y, K.ibd_kinship(p), n_repeats=20))
 
 
 @query()
