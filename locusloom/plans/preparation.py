@@ -40,8 +40,8 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_markers(spark: SparkSession, d: str) -> DataFrame:
-    """The valid TPED lines as typed markers."""
-    return valid_rows(_tped(spark, d))
+    """The valid TPED lines as typed markers, their calls as text."""
+    return valid_rows(_tped(spark, d)).withColumn("calls", F.array_join(F.col("calls").cast("array<string>"), ",", "NA"))
 
 
 def p1_result_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +128,87 @@ with t as (
 select 'tped_lines' as src_table, line_id from t_bad union all select 'result_lines', line_id from r_bad"""
 
 
+def _reason_ctes() -> str:
+    """Both tables line by line with fields, values and the first rule each line breaks."""
+    number = f"regexp_full_match({{}}, '{_NUM}')"
+    bare = "regexp_replace({}, chr(13)||'$', '')"
+    quoted = "'\"([^\"]|\"\")*\"'"
+
+    def val(name: str) -> str:
+        raw = f"list_extract(fs, list_position(cols, '{name}')::int)"
+        body = f"substr({raw}, 2)"
+        return f"trim(case when starts_with({body}, {_Q}) then replace(substr({body}, 2, length({body}) - 2), {_Q}||{_Q}, {_Q}) else {body} end, ' '||{_TAB}) as v_{name}"
+
+    def gap(name: str) -> str:
+        return f"v_{name} in ('', 'NA')"
+
+    def d(name: str) -> str:
+        return f"try_cast(v_{name} as double)"
+
+    whole = "({d} = floor({d}) and not isinf({d}) and {d} >= {low})"
+    ok = {
+        "chromosomes": f"{number.format('v_chromosomes')} and {d('chromosomes')} in (1, 2, 3, 4, 5)",
+        "positions": f"{number.format('v_positions')} and {whole.format(d=d('positions'), low=1)}",
+        "scores": number.format("v_scores"),
+        "mafs": f"({gap('mafs')} or {number.format('v_mafs')} and {d('mafs')} between 0 and 0.5)",
+        "macs": f"({gap('macs')} or {number.format('v_macs')} and {whole.format(d=d('macs'), low=0)})",
+        "perc_var_expl": f"(coalesce(list_position(cols, 'perc_var_expl'), 0) = 0 or {number.format('v_perc_var_expl')})",
+    }
+    names = [*ok, "note"]
+    renames = "case trim(lower(c)) when 'chromosome' then 'chromosomes' when 'position' then 'positions' when 'score' then 'scores' when 'marf' then 'mafs' when 'maf' then 'macs' else trim(lower(c)) end"
+    return f"""
+with t as (
+  select line_id, raw_snps, trim({bare.format('raw_snps')}, ' '||{_TAB}) as s, n_indiv
+  from tped_lines left join (select * from line_layouts where file_kind = 'tped') using (layout_id)
+), t_f as (
+  select *, regexp_split_to_array(s, '[ '||{_TAB}||']+') as f from t
+), t_r as (
+  select *, f[5:] as alleles, case when raw_snps is null then 'null_line' when n_indiv is null then 'unknown_layout' when s = '' then 'empty_line'
+    when len(f) <> 4 + 2 * n_indiv then 'field_count' when not regexp_full_match(f[1], '[1-5]') then 'chromosome' when not {number.format('f[3]')} then 'centimorgan'
+    when not regexp_full_match(f[4], '[0-9]+') then 'position' when len(list_filter(f[5:], lambda x: x not in ('0', '1', '2'))) > 0 then 'allele' end as reason
+  from t_f
+), lay as (
+  select layout_id, case delim when 'comma' then ',' when 'tab' then chr(9) when 'blank' then ' ' end as dl,
+    [{renames} for c in string_split(col_names, ',')] as cols
+  from line_layouts where file_kind = 'result' and delim in ('comma', 'tab', 'blank')
+), r as (
+  select line_id, dl, cols, raw_line, {bare.format('raw_line')} as s
+  from result_lines left join lay using (layout_id) where line_no is distinct from 1
+), r_p as (
+  select *, substr(s, length(regexp_extract(s, '^(({quoted[1:-1]}|[^"'||dl||']*)'||dl||')*', 0, 's')) + 1) as rest,
+    regexp_extract_all(dl||s, '('||dl||'({quoted[1:-1]}|([^"'||dl||'][^"'||dl||']*)?))', 0, 's') as fs
+  from r
+), r_v as (
+  select *, {', '.join(map(val, names))} from r_p
+), r_r as (
+  select *, case when raw_line is null then 'null_line' when cols is null then 'unknown_layout' when trim(s, ' '||{_TAB}) = '' then 'empty_line'
+    when starts_with(rest, {_Q}) and not regexp_matches(rest, '^'||{quoted}||'([^"]|$)', 's') then 'open_quote'
+    when starts_with(rest, {_Q}) and not regexp_full_match(rest, {quoted}, 's') then 'text_after_quote'
+    when not starts_with(rest, {_Q}) and contains(rest, {_Q}) then 'stray_quote'
+    when len(fs) <> len(cols) then 'field_count'
+    {' '.join(f"when not ({rule}) then '{name}'" for name, rule in ok.items())} end as reason
+  from r_v
+)"""
+
+
+_P1_REASONS_SQL = _reason_ctes() + """
+select src_table, reason, count(*) as n_lines
+from (select 'tped_lines' as src_table, reason from t_r union all select 'result_lines', reason from r_r) where reason is not null group by all"""
+_P1_MARKERS_SQL = _reason_ctes() + """
+select line_id, f[1]::int as chrom, f[2] as snp_id, f[3]::double as cm, try_cast(f[4] as bigint) as pos,
+  array_to_string(list_transform(range(1, 2 * n_indiv, 2), lambda i: case when alleles[i] <> '0' and alleles[i + 1] <> '0' then (alleles[i]::int + alleles[i + 1]::int - 2)::varchar else 'NA' end), ',') as calls,
+  case when try_cast(f[4] as bigint) is null then 'position='||f[4] end as wide
+from t_r where reason is null"""
+_P1_ROWS_SQL = _reason_ctes() + """
+, w as (
+  select *, case when v_macs not in ('', 'NA') then v_macs end as t_macs, case when v_mafs not in ('', 'NA') then v_mafs end as t_mafs from r_r where reason is null
+)
+select line_id, v_chromosomes::double::int as chrom, try_cast(v_positions::double as bigint) as pos, v_scores::double as score, t_mafs::double as maf, try_cast(t_macs::double as bigint) as mac,
+  v_perc_var_expl::double as perc_var_expl, v_note as note,
+  nullif(concat_ws(';', case when try_cast(v_positions::double as bigint) is null then 'positions='||v_positions end, case when t_macs is not null and try_cast(t_macs::double as bigint) is null then 'macs='||t_macs end), '') as wide
+from w"""
+
+
 _P2_SQL = """
 with e as (
   select marker_id, data_format, unnest(raw_snps) as v, generate_subscripts(raw_snps, 1) - 1 as slot from genot_data
@@ -173,4 +254,7 @@ select ref_table, strftime(t, '%Y-%m') as ref_month,
 from j where not live group by all"""
 
 
-ORACLES = {"p1_found": _p1_sql(), "p2_found": _P2_SQL, "p3_found": _p3_sql(), "p3_report": _p3_report_sql()}
+ORACLES = {
+    "p1_found": _p1_sql(), "p1_reasons": _P1_REASONS_SQL, "p1_markers": _P1_MARKERS_SQL, "p1_result_rows": _P1_ROWS_SQL,
+    "p2_found": _P2_SQL, "p3_found": _p3_sql(), "p3_report": _p3_report_sql(),
+}
