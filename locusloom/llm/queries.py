@@ -15,6 +15,8 @@ from .topn import top_n
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 SCORE_KEYS = ["src_table", "run_id", "chrom", "day"]
+EPS = 0.005
+_SALTS = 16
 
 
 def _score_values(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +28,7 @@ def _score_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of p-values and scores per run, chromosome and day, with the rank error."""
-    return percentiles(summarize(_score_values(spark, d), SCORE_KEYS, "x"), SCORE_KEYS, PROBS)
+    return percentiles(summarize(_score_values(spark, d), SCORE_KEYS, "x"), SCORE_KEYS, PROBS).withColumn("day", F.col("day").cast("string"))
 
 
 def p4_over_days(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +38,33 @@ def p4_over_days(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(merge_summaries(daily, keys), keys, PROBS)
 
 
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each run and of each whole table, from daily summaries merged level by level, held against the exact ranks.
+
+    within: no reported value's rank lies further from the wanted one than
+    rank_error; bounded: rank_error is at most eps of the values.
+    """
+    x = _score_values(spark, d)
+    by_run = merge_summaries(merge_summaries(summarize(x, SCORE_KEYS, "x", EPS), SCORE_KEYS[:3]), SCORE_KEYS[:2])
+    runs = percentiles(by_run, SCORE_KEYS[:2], PROBS)
+    tables = percentiles(merge_summaries(by_run, ["src_table"]), ["src_table"], PROBS)
+    values = x.filter(~F.isnan("x")).select("src_table", "run_id", "x")
+    # a run may hold a third of all values, so each is met by its percentiles in several places
+    salted = values.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)))
+    copies = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    run_rows = salted.join(copies, ["src_table", "run_id", "_salt"]).withColumn("run", F.col("run_id").cast("string"))
+    table_rows = values.join(F.broadcast(tables), "src_table").withColumn("run", F.lit("all"))  # one row per table
+    names = [f"p{round(100 * p):02d}" for p in PROBS]
+    keep = ["src_table", "run", "n", "rank_error", *names]
+    ranks = run_rows.select(*keep, "x").unionByName(table_rows.select(*keep, "x")).groupBy(*keep)
+    ranks = ranks.agg(*[F.struct(F.count_if(F.col("x") < F.col(p)).alias("below"), F.count_if(F.col("x") <= F.col(p)).alias("upto")).alias(f"r_{p}") for p in names])
+    ok = F.lit(True)
+    for p, name in zip(PROBS, names):
+        want = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+        ok = ok & (F.col(f"r_{name}.below") + 1 - F.col("rank_error") <= want) & (F.col(f"r_{name}.upto") + F.col("rank_error") >= want)
+    return ranks.select("src_table", "run", "n", ok.alias("within"), (F.col("rank_error") <= EPS * F.col("n")).alias("bounded"))
+
+
 def _top_loci(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "results"), ["run_id", "chrom"], "pos", "score", "result_id", 5)
 
@@ -100,7 +129,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p5_found, p5_top_loci, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p4_bounds, p5_found, p5_top_loci, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kept)}
 
 _P5 = """
 with r as (
@@ -109,7 +138,21 @@ with r as (
 )
 select {columns} from r qualify row_number() over (partition by run_id, chrom order by score desc, pos) <= 5"""
 
+_SCORES = """
+with x as (
+  select 'chrom_results' as src_table, run_id, chrom, scan_day::date::varchar as day, ps as x from chrom_results where ps >= 0 and ps <= 1 and not isnan(ps)
+  union all select 'results', run_id, chrom, scored_at::date::varchar, score from results where score is not null and not isnan(score)
+)"""
+#: Exact, as long as no group holds more values than a summary keeps without compression.
+_P4 = _SCORES + """, s as (select src_table, run_id, chrom, day, count(*) as n, list_sort(list(x)) as v from x group by all)
+select src_table, run_id, chrom, day, n, """ + ", ".join(f"v[greatest(1, ceil({p}::double * n))::int] as p{round(100 * p):02d}" for p in PROBS) + """, 0::bigint as rank_error from s"""
+_P4_BOUNDS = _SCORES + """
+select src_table, run_id::varchar as run, count(*) as n, true as within, true as bounded from x group by 1, 2
+union all select src_table, 'all', count(*), true, true from x group by 1"""
+
 ORACLES = {
+    "p4_percentiles": _P4,
+    "p4_bounds": _P4_BOUNDS,
     "p5_found": _P5.format(columns="run_id, chrom, result_id"),
     "p5_top_loci": _P5.format(columns="run_id, chrom, pos, score, result_id, (row_number() over (partition by run_id, chrom order by score desc, pos))::int as place"),
 }
