@@ -89,6 +89,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).filter("distance = 0").select("doc_id", "item_id")
 
 
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve words of an item with one or two words changed, but not unchanged."""
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), max_edits=2)
+    return found.filter("distance > 0").select("doc_id", "item_id", "distance")
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Items that leaked, also with one word changed, and into how many documents."""
     return leaked_items(_leaks(spark, d))
@@ -129,7 +135,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p4_bounds, p5_found, p5_top_loci, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_over_days, p4_bounds, p5_found, p5_top_loci, p6_found, p6_near, p6_items, p7_mixture, p7_shares, p8_found, p8_kept)}
 
 _P5 = """
 with r as (
@@ -150,7 +156,31 @@ _P4_BOUNDS = _SCORES + """
 select src_table, run_id::varchar as run, count(*) as n, true as within, true as bounded from x group by 1, 2
 union all select src_table, 'all', count(*), true, true from x group by 1"""
 
+
+
+def _words_sql(text: str) -> str:
+    """Words of a text: invisible characters out, broken words joined, accents off, lower case."""
+    bare = f"translate({text}, chr(8203)||chr(8204)||chr(8205)||chr(8288)||chr(65279)||chr(173), '')"
+    joined = f"regexp_replace({bare}, '([\\p{{L}}\\p{{N}}])[-‐][ \\t]*\\r?\\n[ \\t]*([\\p{{L}}\\p{{N}}])', '\\1\\2', 'g')"
+    # strip_accents leaves compatibility forms; those of the Latin alphabet and of digits are brought back here
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    quote = lambda x: x.replace("'", "''")
+    folded = f"replace(replace(replace(translate({joined}, '{quote(wide)}', '{quote(narrow)}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff')"
+    return f"regexp_extract_all(lower(strip_accents({folded})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_P6 = f"""
+with d as (select doc_id, {_words_sql('text')} as w from documents where text is not null),
+b as (select item_id, {_words_sql('text')} as w from benchmark where text is not null),
+dg as (select distinct doc_id, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+bg as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b))
+select distinct doc_id, item_id from dg join bg using (g)
+union
+select doc_id, item_id from d join b on len(b.w) between 1 and 11 and contains(' '||array_to_string(d.w, ' ')||' ', ' '||array_to_string(b.w, ' ')||' ')"""
+
 ORACLES = {
+    "p6_found": _P6,
     "p4_percentiles": _P4,
     "p4_bounds": _P4_BOUNDS,
     "p5_found": _P5.format(columns="run_id, chrom, result_id"),

@@ -48,8 +48,9 @@ def brute(docs, items, window, edits):
     return out
 
 
-@pytest.mark.parametrize("edits,block", [(0, 10**6), (1, 10**6), (2, 3)])
-def test_equals_brute_force(spark, edits, block):
+@pytest.mark.parametrize("edits,block,bits", [(0, 10**6, 27), (1, 10**6, 27), (2, 10**6, 27), (0, 3, 20), (1, 3, 12), (2, 3, 20)])
+def test_equals_brute_force(spark, edits, block, bits):
+    """Few items go through the automaton, many through hashes (also with a bit map that sifts badly)."""
     rng = random.Random(edits)
     vocab = "the line of mk2_1 peak at é and seed q".split()
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 8, 14, 20])))) for i in range(12)] + [(20, None), (21, ""), (22, "..!")]
@@ -66,11 +67,42 @@ def test_equals_brute_force(spark, edits, block):
         docs.append((d, " ".join(w)))
     docs += [(100, None), (101, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as distance").repartition(3)
-    rows = find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), 8, edits, block_words=block).collect()
+    rows = find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), 8, edits, block_words=block, bits=bits).collect()
     assert {(r.doc_id, r.item_id): r.distance for r in rows} == brute(docs, items, 8, edits)
     assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
 
 
+def test_recall_on_planted_edits(spark):
+    """Passages with planted word edits are all found, up to the budget and not beyond it."""
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(40)]
+    docs, want = [], {}
+    for d in range(300):
+        i, n = rng.randrange(40), rng.choice([0, 1, 2, 3])
+        part = items[i][1].split()[9:21]
+        for k in sorted(rng.sample(range(12), n), reverse=True):
+            part[k : k + 1] = rng.choice([[], ["zz"], [part[k], "zz"]])
+        docs.append((d, " ".join(f"q{d}{k}" for k in range(40)) + " " + " ".join(part) + " " + " ".join(f"r{d}{k}" for k in range(40))))
+        want[d, i] = n
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    exact = brute(docs, items, 12, 2)
+    for block in (10**6, 10):
+        got = {(r.doc_id, r.item_id): r.distance for r in find_leaks(df, tests, 12, 2, block_words=block, bits=20).collect()}
+        assert got == exact
+        assert all(got[k] <= n for k, n in want.items() if n <= 2)
+
+
+def test_piece_in_very_many_places(spark, monkeypatch):
+    """A stock phrase with more than its share of the hits is split and still complete."""
+    phrase = "see the notes of the panel"
+    items = [(i, f"{phrase} item number {i} has its own long ending here") for i in range(30)]
+    docs = [(d, f"{phrase} item number {d % 60} has its own long ending here and {d}") for d in range(11_000)]
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = find_leaks(df, tests, 12, 0, block_words=10, bits=20).filter("distance = 0").select("doc_id", "item_id").collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(d, d % 60) for d in range(11_000) if d % 60 < 30}
+
+
 def test_report_and_long_text(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     long = " ".join(f"w{k}" for k in range(50_000))
