@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fill import fill_calls, fill_counts, fill_genotypes, filled_slots
+from ..operators.fill import fill_calls, fill_counts, fill_genotypes, filled_slots, methods
 from ..operators.references import find_orphans, orphan_report, references
 from ..session import table
 from ..sources.lines import parse_lines, rejected_rows, valid_rows
@@ -56,8 +56,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_filled(spark: SparkSession, d: str) -> DataFrame:
-    """The table with all its columns, calls and counts filled and marked."""
-    return fill_genotypes(table(spark, d, "genot_data"))
+    """The table with all its columns, calls and counts filled and marked; lists as text."""
+    filled = fill_genotypes(table(spark, d, "genot_data"))
+    return filled.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",", "NA") for c in ("raw_snps", "call_method", "call_distance")})
+
+
+def p2_methods(spark: SparkSession, d: str) -> DataFrame:
+    """How many values came by which method, and how far from the marker they were taken."""
+    g = table(spark, d, "genot_data")
+    return methods(fill_calls(g), fill_counts(g))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +82,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_markers, p1_result_rows, p2_found, p2_filled, p3_found, p3_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_markers, p1_result_rows, p2_found, p2_filled, p2_methods, p3_found, p3_report)}
 
 _NUM = "[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"
 _TAB, _CR, _Q = "chr(9)", "chr(13)", "chr(34)"
@@ -222,6 +229,55 @@ union all
 select marker_id, -1 as slot from k join kk on k.chrom is not distinct from kk.chrom and k.call_batch is not distinct from kk.call_batch where not ok"""
 
 
+_P2_CTES = """
+with g as (select *, case when pos > 0 then pos end as p, case when data_format = 'diploid_int' then 2 else 1 end as top from genot_data),
+e as (select marker_id, call_batch, chrom, p, top, unnest(raw_snps) as v, generate_subscripts(raw_snps, 1) as s from g),
+o as (select *, coalesce(v between 0 and top, false) as ok, case when coalesce(v between 0 and top, false) and p is not null then struct_pack(p := p, v := v) end as ob from e),
+w as (
+  select *, last_value(ob ignore nulls) over (partition by call_batch, chrom, s order by p, marker_id rows between unbounded preceding and 1 preceding) as pr,
+    first_value(ob ignore nulls) over (partition by call_batch, chrom, s order by p, marker_id rows between 1 following and unbounded following) as nx,
+    count(*) filter (ok and v = 0) over (partition by marker_id) as n0, count(*) filter (ok and v = 1) over (partition by marker_id) as n1, count(*) filter (ok and v = 2) over (partition by marker_id) as n2
+  from o
+), r as (
+  select *, case when pr.v <= top and p - pr.p <= 10000000 then p - pr.p end as dp, case when nx.v <= top and nx.p - p <= 10000000 then nx.p - p end as dn,
+    case when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end as mode
+  from w
+), c as (
+  select *, case when ok then 0 when n0 + n1 + n2 = 0 then null when dp is not null and dp <= coalesce(dn, dp) then 2 when dn is not null then 1 else 3 end as method from r
+), calls as (
+  select marker_id, s, method, case method when 0 then v when 2 then pr.v when 1 then nx.v when 3 then mode end as v, case method when 0 then 0 when 2 then dp when 1 then dn end as distance from c
+), k as (
+  select marker_id, call_batch, chrom, p, n_typed, missing_counts::double as v, coalesce(missing_counts >= 0 and missing_counts <= coalesce(n_typed, 2147483647), false) as ok from g
+), kw as (
+  select *, last_value(case when ok and p is not null then struct_pack(p := p, v := v) end ignore nulls) over (partition by call_batch, chrom order by p, marker_id rows between unbounded preceding and 1 preceding) as a,
+    first_value(case when ok and p is not null then struct_pack(p := p, v := v) end ignore nulls) over (partition by call_batch, chrom order by p, marker_id rows between 1 following and unbounded following) as b,
+    first_value(case when ok then v end ignore nulls) over (partition by call_batch, chrom order by p nulls last, marker_id rows between unbounded preceding and unbounded following) as least
+  from k
+), km as (
+  select *, case when ok then 'observed' when p is not null and a is not null and b is not null then 'interpolated' when p is not null and a is not null then 'previous_marker'
+    when p is not null and b is not null then 'next_marker' when least is not null then 'first_observed' end as method, p - a.p as da, b.p - p as db
+  from kw
+), counts as (
+  select marker_id, method, least(n_typed::double, case method when 'observed' then v when 'interpolated' then case when da + db > 0 then a.v + (b.v - a.v) * da / (da + db) else (a.v + b.v) / 2 end
+    when 'previous_marker' then a.v when 'next_marker' then b.v when 'first_observed' then least end) as v,
+    case method when 'observed' then 0 when 'interpolated' then least(da, db) when 'previous_marker' then da when 'next_marker' then db end as distance
+  from km
+)"""
+_P2_FILLED_SQL = _P2_CTES + """
+, lists as (
+  select marker_id, string_agg(coalesce(v::varchar, 'NA'), ',' order by s) as raw_snps, string_agg(coalesce(method::varchar, 'NA'), ',' order by s) as call_method, string_agg(coalesce(distance::varchar, 'NA'), ',' order by s) as call_distance
+  from calls group by 1
+)
+select marker_id, call_batch, chrom, pos, snp_id, a0, a1, data_format, n_typed, freqs,
+  coalesce(l.raw_snps, case when g.raw_snps is not null then '' end) as raw_snps, case when counts.method is not null then counts.v end as missing_counts,
+  coalesce(call_method, case when g.raw_snps is not null then '' end) as call_method, coalesce(call_distance, case when g.raw_snps is not null then '' end) as call_distance,
+  counts.method as count_method, counts.distance as count_distance
+from genot_data as g left join lists as l using (marker_id) join counts using (marker_id)"""
+_P2_METHODS_SQL = _P2_CTES + """
+select 'calls' as what, coalesce(['observed', 'next_marker', 'previous_marker', 'marker_mode'][method + 1], 'open') as method, count(*) as n_values, avg(distance) as mean_distance from calls group by all
+union all select 'missing_counts', coalesce(method, 'open'), count(*), avg(distance) from counts group by all"""
+
+
 def _key_sql(c: str) -> str:
     t = f"trim({c}, ' '||chr(9))"
     return (
@@ -256,5 +312,5 @@ from j where not live group by all"""
 
 ORACLES = {
     "p1_found": _p1_sql(), "p1_reasons": _P1_REASONS_SQL, "p1_markers": _P1_MARKERS_SQL, "p1_result_rows": _P1_ROWS_SQL,
-    "p2_found": _P2_SQL, "p3_found": _p3_sql(), "p3_report": _p3_report_sql(),
+    "p2_found": _P2_SQL, "p2_filled": _P2_FILLED_SQL, "p2_methods": _P2_METHODS_SQL, "p3_found": _p3_sql(), "p3_report": _p3_report_sql(),
 }
