@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import association, domain, preparation
+from . import association, domain, mixed, preparation
 
 FLAGSHIP = "lm_scan"
-_MODULES = [association, domain, preparation]
+_MODULES = [association, domain, mixed, preparation]
 
 
 def queries() -> dict:
