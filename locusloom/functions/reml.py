@@ -162,7 +162,7 @@ class Fit:
 
 def fit(
     y: np.ndarray, k: np.ndarray, x: np.ndarray | None = None, method: str = "REML", eig_k: Eigen | None = None,
-    grids: int = 100, low: float = -10, high: float = 10, tol: float = 1e-9, whiten: bool = True,
+    grids: int = 100, low: float = -10, high: float = 10, tol: float = 1e-12, whiten: bool = True,
 ) -> Fit:
     """Fit by REML or ML; x defaults to an intercept. eig_k saves the decomposition of K, whiten=False the n x n whitener."""
     y = np.asarray(y, float).ravel()
@@ -281,11 +281,11 @@ def fit_two(y: np.ndarray, k1: np.ndarray, k2: np.ndarray, x: np.ndarray | None
     return {"fit": f, "ll": ll, "share": a, "perc_var1": f.heritability * a, "perc_var2": f.heritability * (1 - a), "perc_error": 1 - f.heritability}
 
 
-def likelihood_ratio(y: np.ndarray, k: np.ndarray) -> tuple[float, float]:
-    """(statistic, p) of the test that the variance of K is above zero, one degree of freedom."""
+def likelihood_ratio(y: np.ndarray, k: np.ndarray, eig_k: Eigen | None = None) -> tuple[float, float]:
+    """(statistic, p) of the test that the variance of K is above zero, one degree of freedom. eig_k: of the scaled K."""
     y = np.asarray(y, float)
     n = len(y)
-    full = fit(y, scale_k(k), method="ML", whiten=False).ll
+    full = fit(y, scale_k(k), method="ML", eig_k=eig_k, whiten=False).ll
     null = -0.5 * n * (math.log(2 * math.pi * float(np.var(y))) + 1)
     stat = max(0.0, 2 * (full - null))
     return stat, float(chi2_sf(stat, 1))

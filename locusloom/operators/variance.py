@@ -27,8 +27,9 @@ def trait_heritability(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataF
         if len(y) < 3 or np.ptp(y) == 0:
             return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [np.nan], "p_value": [np.nan], "vg": [np.nan], "ve": [np.nan]})
         zkz = scale_k(k[np.ix_(at, at)])
-        f = fit(y, zkz)
-        return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [f.heritability], "p_value": [likelihood_ratio(y, zkz)[1]], "vg": [f.vg], "ve": [f.ve]})
+        eig = Eigen.of(zkz)
+        f = fit(y, zkz, eig_k=eig, whiten=False)
+        return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [f.heritability], "p_value": [likelihood_ratio(y, zkz, eig)[1]], "vg": [f.vg], "ve": [f.ve]})
 
     return phens.select("phen_id", "indiv_id", "value").groupBy("phen_id").applyInPandas(run, "phen_id int, n long, heritability double, p_value double, vg double, ve double")
 
@@ -45,7 +46,7 @@ def trait_blups(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataFrame:
             u = np.zeros(len(y))
         else:
             zkz = scale_k(k[np.ix_(at, at)])
-            u = blup(y, zkz, fit(y, zkz).heritability)
+            u = blup(y, zkz, fit(y, zkz, whiten=False).heritability)
         return pd.DataFrame({"phen_id": pdf["phen_id"], "indiv_id": pdf["indiv_id"], "value": y, "blup": u, "residual": y - y.mean() - u if len(y) else y})
 
     return phens.select("phen_id", "indiv_id", "value").groupBy("phen_id").applyInPandas(run, "phen_id int, indiv_id string, value double, blup double, residual double")

@@ -162,7 +162,7 @@ _FIT.ctes += [
 ]
 
 
-@query(_sql(_BASE, _FIT, f"select method, {s('x', 5)} as log_delta, {s('1 / (1 + exp(x))')} as heritability, {s('vg', 5)} as vg, {s('vg * exp(x)', 5)} as ve, {s('ll', 5)} as ll, {s('mean', 5)} as mean, {s('rss', 3)} as rss from both_fits join beta using (method)"))
+@query(_sql(_BASE, _FIT, f"select method, {s('x', 5)} as log_delta, {s('1 / (1 + exp(x))')} as heritability, {s('vg', 5)} as vg, {s('vg * exp(x)', 5)} as ve, {s('ll', 5)} as ll, {s('mean', 5)} as mean, {s('rss', 2)} as rss from both_fits join beta using (method)"))
 def block_fit(spark: SparkSession, d: str) -> DataFrame:
     """REML and ML fits of the trait: ratio, variances, likelihood, mean."""
     _, y, k = _panel(spark, d)
@@ -171,7 +171,7 @@ def block_fit(spark: SparkSession, d: str) -> DataFrame:
         f = reml.fit(y, reml.scale_k(k), method=m)
         rows.append((m, float(np.log(f.delta)), f.heritability, f.vg, f.ve, f.ll, float(f.beta[0]), f.rss))
     out = spark.createDataFrame(rows, "method string, log_delta double, heritability double, vg double, ve double, ll double, mean double, rss double")
-    return rounded(rounded(rounded(out, "rss", digits=3), "log_delta", "vg", "ve", "ll", "mean", digits=5), "heritability")
+    return rounded(rounded(rounded(out, "rss", digits=2), "log_delta", "vg", "ve", "ll", "mean", digits=5), "heritability")
 
 
 @query(_sql(_BASE, _FIT, f"select {s('2 * (ll + n / 2 * (ln(2 * pi() * v) + 1))', 4)} as stat from fl, (select var_pop(y) as v from one)"))
@@ -193,34 +193,34 @@ def _scan_sql(names: list[str], covariates: list[str], table: str, tail: list[st
 _F1 = "(S_y_y / nullif(S_y_y - S_g_y ^ 2 / S_g_g, 0) - 1)"
 
 
-@query(_scan_sql(["o", "g", "y"], ["o"], "t", [], f"select marker_id, {s('S_g_y / S_g_g')} as beta, {s(f'{_F1} * (n - 2)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 3)} as rss, {s('S_g_y ^ 2 / S_g_g / S_y_y')} as var_perc from w"))
+@query(_scan_sql(["o", "g", "y"], ["o"], "t", [], f"select marker_id, {s('S_g_y / S_g_g')} as beta, {s(f'{_F1} * (n - 2)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 2)} as rss, {s('S_g_y ^ 2 / S_g_g / S_y_y')} as var_perc from w"))
 def block_emmax(spark: SparkSession, d: str) -> DataFrame:
     """Mixed-model scan with one ratio for all markers."""
     p, y, k = _panel(spark, d)
     out = scan.emmax(p, y, k)[0].select("marker_id", "beta", "f_stat", "rss", "var_perc")
-    return rounded(rounded(rounded(out, "rss", digits=3), "f_stat", digits=4), "beta", "var_perc")
+    return rounded(rounded(rounded(out, "rss", digits=2), "f_stat", digits=4), "beta", "var_perc")
 
 
 _EMMA = BlockSql("t", ["marker_id"], ["o", "g", "y"]).fit("f", ["o", "g"], grids=50, low=-4).at("w", "f", ["o"], ["g", "y"])
 
 
-@query(_sql(_BASE, _EMMA, f"select marker_id, {s('x', 5)} as log_delta, {s('S_g_y / S_g_g', 5)} as beta, {s(f'{_F1} * (n - 2)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 3)} as rss from w"))
+@query(_sql(_BASE, _EMMA, f"select marker_id, {s('x', 5)} as log_delta, {s('S_g_y / S_g_g', 5)} as beta, {s(f'{_F1} * (n - 2)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 2)} as rss from w"))
 def block_emma(spark: SparkSession, d: str) -> DataFrame:
     """Exact mixed model: the ratio is fitted for every marker."""
     p, y, k = _panel(spark, d)
     out = scan.emma(p, y, k).select("marker_id", F.log("delta").alias("log_delta"), "beta", "f_stat", "rss")
-    return rounded(rounded(rounded(out, "rss", digits=3), "f_stat", digits=4), "beta", "log_delta", digits=5)
+    return rounded(rounded(rounded(out, "rss", digits=2), "f_stat", digits=4), "beta", "log_delta", digits=5)
 
 
 _TWO = ["w2 as (select *, S_y_y - S_g_y ^ 2 / nullif(S_g_g, 0) as r1, S_g_g > 1e-9 as ok, S_ge_ge - S_g_ge ^ 2 / nullif(S_g_g, 0) as ee, S_ge_y - S_g_ge * S_g_y / nullif(S_g_g, 0) as ey from w)", "w3 as (select *, r1 - ey ^ 2 / ee as r2 from w2)"]
 
 
-@query(_scan_sql(["o", "e", "g", "ge", "y"], ["o", "e"], "t", _TWO, f"select marker_id, {s('(S_y_y / r1 - 1) * (n - 3)', 4)} as f_g, {s('(S_y_y / r2 - 1) * (n - 4) / 2', 4)} as f_joint, {s('(r1 / r2 - 1) * (n - 3)', 4)} as f_gxe, {s('r1', 3)} as rss_g, {s('r2', 3)} as rss_joint from w3"))
+@query(_scan_sql(["o", "e", "g", "ge", "y"], ["o", "e"], "t", _TWO, f"select marker_id, {s('(S_y_y / r1 - 1) * (n - 3)', 4)} as f_g, {s('(S_y_y / r2 - 1) * (n - 4) / 2', 4)} as f_joint, {s('(r1 / r2 - 1) * (n - 3)', 4)} as f_gxe, {s('r1', 2)} as rss_g, {s('r2', 2)} as rss_joint from w3"))
 def block_gxe(spark: SparkSession, d: str) -> DataFrame:
     """Gene-by-environment scan in the mixed model."""
     p, y, k = _panel(spark, d)
     out = scan.emmax_gxe(p, y, k, [int(x) // _GROUPS % 2 for x in p.ids])[0].select("marker_id", "f_g", "f_joint", "f_gxe", "rss_g", "rss_joint")
-    return rounded(rounded(out, "rss_g", "rss_joint", digits=3), "f_g", "f_joint", "f_gxe", digits=4)
+    return rounded(rounded(out, "rss_g", "rss_joint", digits=2), "f_g", "f_joint", "f_gxe", digits=4)
 
 
 _SUMS = "sums as (select marker_id, sum(g) > 15 and sum(ge) > 15 as may from u group by 1)"
@@ -229,13 +229,13 @@ _INTER = [_SUMS, "w2 as (select *, S_g_g > 1e-6 as ok from w join sums using (ma
           "w4 as (select *, ok::int + coalesce(ee > 1e-6, false)::int as used, S_y_y - fall1 - case when coalesce(ee > 1e-6, false) then ey ^ 2 / ee else 0 end as rss from w3)"]
 
 
-@query(_scan_sql(["o", "h", "g", "ge", "y"], ["o", "h"], "u", _INTER, f"select marker_id, used::double as n_tested, {s('case when used > 0 then (S_y_y / rss - 1) * (n - 2 - used) / used else 0 end', 4)} as f_stat, {s('rss', 3)} as rss from w4"))
+@query(_scan_sql(["o", "h", "g", "ge", "y"], ["o", "h"], "u", _INTER, f"select marker_id, used::double as n_tested, {s('case when used > 0 then (S_y_y / rss - 1) * (n - 2 - used) / used else 0 end', 4)} as f_stat, {s('rss', 2)} as rss from w4"))
 def block_interactions(spark: SparkSession, d: str) -> DataFrame:
     """Each marker and its product with one cofactor in the mixed model."""
     p, y, k = _panel(spark, d)
     cofactor = p.markers.filter(F.col("marker_id") == COFACTOR).first().calls
     out = scan.emmax_interactions(p, y, k, [cofactor])[0].select("marker_id", "n_tested", "f_stat", "rss")
-    return rounded(rounded(out, "rss", digits=3), "f_stat", digits=4)
+    return rounded(rounded(out, "rss", digits=2), "f_stat", digits=4)
 
 
 @query(_scan_sql(["o", "g", "y"], ["o"], "t", ["pri as (select distinct marker_id, pos / 100000.0 as prior from t)"], f"""select marker_id, {s('prior')} as prior, {s('ln(bf)', 4)} as log_bayes_factor, {s('bf * prior / (1 - prior) / (1 + bf * prior / (1 - prior))')} as ppa
@@ -256,13 +256,13 @@ def block_anova(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "f_stat", digits=4), "var_perc")
 
 
-@query(_scan_sql(["o", "h", "g", "y"], ["o", "h"], "t", [], f"select marker_id, {s(f'{_F1} * (n - 3)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 3)} as rss from w where marker_id <> {COFACTOR}"))
+@query(_scan_sql(["o", "h", "g", "y"], ["o", "h"], "t", [], f"select marker_id, {s(f'{_F1} * (n - 3)', 4)} as f_stat, {s('S_y_y - S_g_y ^ 2 / S_g_g', 2)} as rss from w where marker_id <> {COFACTOR}"))
 def block_step(spark: SparkSession, d: str) -> DataFrame:
     """Scan of one step of the multi-locus search, given one cofactor."""
     p, y, k = _panel(spark, d)
     at = p.markers.filter(F.col("marker_id") == COFACTOR).first()
     out = stepwise.single_step(p, y, [(at.chrom, at.pos)], k)[1].select("marker_id", "f_stat", "rss")
-    return rounded(rounded(out, "rss", digits=3), "f_stat", digits=4)
+    return rounded(rounded(out, "rss", digits=2), "f_stat", digits=4)
 
 
 _STEP = BlockSql("one", [], ["o", "h", "y"]).fit("f", ["o", "h"]).fit("l", ["o", "h"], "ML")
@@ -270,14 +270,14 @@ _STEP.ctes += [f"fr as ({_STEP.profile('f', ['o', 'h'], 'REML')})", f"fl as ({_S
 
 
 @query(_sql(_BASE, _STEP, f"""select {s('fl.ll', 4)} as ll, {s('-2 * fl.ll + 3 * ln(fl.n)', 4)} as bic, {s('-2 * fl.ll + 3 * ln(fl.n) + 2 * ln(m)', 4)} as ebic, {s('-2 * fl.ll + 3 * ln(fl.n) + 6 * ln(m / 2.2 - 1)', 4)} as mbic,
-  {s('fr.S_y_y', 3)} as rss, {s('1 / (1 + exp(fr.x))')} as pseudo_heritability from fl, fr, m"""))
+  {s('fr.S_y_y', 2)} as rss, {s('1 / (1 + exp(fr.x))')} as pseudo_heritability from fl, fr, m"""))
 def block_step_criteria(spark: SparkSession, d: str) -> DataFrame:
     """Likelihood, information criteria and heritability of the model with one cofactor."""
     p, y, k = _panel(spark, d)
     at = p.markers.filter(F.col("marker_id") == COFACTOR).first()
     t = stepwise.single_step(p, y, [(at.chrom, at.pos)], k)[0]
     out = spark.createDataFrame([(float(t.ll), float(t.bic), float(t.ebic), float(t.mbic), float(t.rss), float(t.heritability))], "ll double, bic double, ebic double, mbic double, rss double, pseudo_heritability double")
-    return rounded(rounded(rounded(out, "ll", "bic", "ebic", "mbic", digits=4), "rss", digits=3), "pseudo_heritability")
+    return rounded(rounded(rounded(out, "ll", "bic", "ebic", "mbic", digits=4), "rss", digits=2), "pseudo_heritability")
 
 
 # traits with replicates: the kinship of an observation is that of its individual
