@@ -1,17 +1,22 @@
 """Ranks, quantiles and cut-offs of association results (row_id, chrom, pos, score, ...).
 
-Ranks that need a total order are numbered by range partitioning; extreme values
-and top lists use aggregates and limits, which never sort everything in one task.
+Ranks of all rows are numbered by range partitioning; single order statistics,
+medians, grids and distribution tests come from counted buckets (``orderstats``);
+extreme values and top lists use aggregates and limits. Nothing sorts everything in
+one task.
 Ties are broken by row_id.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import kolmogorov_sf, neg_log10
-from .ordering import Along, row_numbers
+from .ordering import row_numbers
+from .orderstats import Ordered, greatest_gap
 
 
 def ranks(results: DataFrame, score: str = "score", ascending: bool = True) -> DataFrame:
@@ -20,17 +25,10 @@ def ranks(results: DataFrame, score: str = "score", ascending: bool = True) -> D
     return row_numbers(results, [first, F.col("row_id")], "_r").withColumn("rank", F.col("_r") + 1).drop("_r")
 
 
-def _sorted_scores(results: DataFrame, score: str) -> tuple[DataFrame, int]:
-    s = row_numbers(results.filter(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).alias("score"), "row_id"), [F.col("score"), F.col("row_id")], "k")
-    return s, s.count()
-
-
 def score_at(results: DataFrame, fraction: float, score: str = "score") -> float | None:
     """The score at 0-based place int(n * fraction) of the ascending order, the last one at most."""
-    s, n = _sorted_scores(results, score)
-    if not n:
-        return None
-    return s.filter(F.col("k") == min(n - 1, int(n * fraction))).first().score
+    s = Ordered(results, score)
+    return s.at([min(s.n - 1, int(s.n * fraction))])[min(s.n - 1, int(s.n * fraction))] if s.n else None
 
 
 def filter_percentile(results: DataFrame, fraction: float, reverse: bool = False, score: str = "score") -> DataFrame:
@@ -124,17 +122,20 @@ def significant(results: DataFrame, n_tests: int | None = None, alpha: float = 0
 
 def quantile_grid(results: DataFrame, dots: int = 1000, score: str = "score") -> DataFrame:
     """i, observed: the score at place int(n * i / (dots + 2)), i = 1..dots."""
-    s, n = _sorted_scores(results, score)
-    grid = results.sparkSession.range(1, dots + 1).select(F.col("id").cast("int").alias("i"), F.floor(F.lit(n) * F.col("id") / (dots + 2)).cast("long").alias("k"))
-    return s.join(grid, "k").select("i", F.col("score").alias("observed"))
+    s = Ordered(results, score)
+    place = {i: s.n * i // (dots + 2) for i in range(1, dots + 1)}
+    found = s.at(list(place.values()))
+    return results.sparkSession.createDataFrame([(i, found[k]) for i, k in place.items() if k in found], "i int, observed double")
 
 
 def log_quantile_grid(results: DataFrame, dots: int = 1000, max_value: float = 5, score: str = "score") -> DataFrame:
     """i, expected, observed in -log10: places int(10^-(i / (dots + 1) * max_value) * n), i = 1..dots."""
-    s, n = _sorted_scores(results, score)
-    e = F.col("id") / (dots + 1) * F.lit(float(max_value))
-    grid = results.sparkSession.range(1, dots + 1).select(F.col("id").cast("int").alias("i"), e.alias("expected"), F.floor(F.pow(F.lit(10.0), -e) * n).cast("long").alias("k"))
-    return s.join(grid, "k").select("i", "expected", neg_log10(F.col("score")).alias("observed"))
+    s = Ordered(results, score)
+    expected = {i: i / (dots + 1) * float(max_value) for i in range(1, dots + 1)}
+    place = {i: math.floor(math.pow(10.0, -e) * s.n) for i, e in expected.items()}
+    found = s.at(list(place.values()))
+    grid = results.sparkSession.createDataFrame([(i, expected[i], found[k]) for i, k in place.items() if k in found], "i int, expected double, x double")
+    return grid.select("i", "expected", neg_log10(F.col("x")).alias("observed"))
 
 
 def expected_grid(spark, n: int) -> DataFrame:
@@ -152,27 +153,20 @@ def area_between(quantiles: DataFrame) -> DataFrame:
 
 def median_offset(results: DataFrame, score: str = "score", expected: float = 0.5) -> DataFrame:
     """One row: expected median minus the score at place n div 2."""
-    s, n = _sorted_scores(results, score)
-    return s.filter(F.col("k") == n // 2).select((F.lit(float(expected)) - F.col("score")).alias("median_offset"))
+    s = Ordered(results, score)
+    found = s.at([s.n // 2])
+    return results.sparkSession.createDataFrame([(float(expected) - x,) for x in found.values()], "median_offset double")
 
 
 def ks_uniform(results: DataFrame, score: str = "score") -> DataFrame:
     """One row: D and p of the Kolmogorov-Smirnov test against the uniform distribution."""
-    s, n = _sorted_scores(results, score)
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    d = s.agg(F.max(F.greatest((F.col("k") + 1) / n - x, x - F.col("k") / n)).alias("d")).first().d if n else None
+    d, n, _ = greatest_gap(results, None, score)
     return results.sparkSession.createDataFrame([(d, kolmogorov_sf(d, n) if n else None)], "d double, p double")
 
 
 def ks_two_samples(a: DataFrame, b: DataFrame, score: str = "score") -> DataFrame:
     """One row: D and p of the two-sample test."""
-    ok = lambda df: df.filter(F.col(score).isNotNull()).select(F.col(score).alias("score"))
-    na, nb = ok(a).count(), ok(b).count()
-    u = ok(a).withColumn("x", F.lit(1)).unionByName(ok(b).withColumn("x", F.lit(0)))
-    per = u.groupBy("score").agg(F.sum("x").cast("long").alias("na"), F.sum(1 - F.col("x")).cast("long").alias("nb"))
-    placed = row_numbers(per, [F.col("score")], "k")
-    along = Along(placed.withColumn("chrom", F.lit(0)), "k", pos="k", width=200_000)
-    d = along.running_sum("na", "ca").running_sum("nb", "cb").df.agg(F.max(F.abs(F.col("ca") / max(na, 1) - F.col("cb") / max(nb, 1))).alias("d")).first().d
+    d, na, nb = greatest_gap(a, b, score)
     p = kolmogorov_sf(d, na * nb / (na + nb)) if na and nb else None
     return a.sparkSession.createDataFrame([(d, p)], "d double, p double")
 
