@@ -6,6 +6,9 @@ neighbouring bins meet. Pair products run over the two call arrays of the pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,29 +77,39 @@ def top_correlated(panel: Panel, calls: list, least: float = 0.5) -> DataFrame:
     return pair_r2(m).filter(F.col("r2") > least).select(F.col("id2").alias("marker_id"), "chrom", F.col("pos2").alias("pos"), "r2")
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked pairs, per chromosome from the last later marker on: what each kept marker removes.
+
+    A removed marker is forgotten once the stream has passed its place.
+    """
+    gone: dict[tuple[int, int], int] = {}
+    chrom: int | None = None
+    for b in batches:
+        out: list[tuple[int, int]] = []
+        for c, p1, i1, p2, i2 in zip(*(b.column(x).to_pylist() for x in ("chrom", "pos1", "id1", "pos2", "id2"))):
+            if c != chrom:
+                gone, chrom = {}, c
+            if (p2, i2) in gone or (p1, i1) in gone:
+                continue
+            gone[p1, i1] = i2
+            out.append((i1, i2))
+            if len(gone) > 100_000:
+                gone = {k: v for k, v in gone.items() if k <= (p2, i2)}
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["marker_id", "kept_id"])
+
+
 def prune_linked(panel: Panel, least: float = 0.8, window: int | None = None) -> tuple[Panel, DataFrame]:
-    """Greedy pruning from the last marker on: a kept marker removes earlier ones with r2 of at least the bound.
+    """Greedy pruning from the last marker on: a kept marker removes the earlier ones left with r2 of at least the bound.
 
-    The pairs are found distributed; the choice is sequential and takes place per
-    chromosome over the linked pairs only. Returns the pruned panel and the
-    removed (marker_id).
+    The pairs are found distributed; the choice walks down each chromosome over
+    the linked pairs and holds what lies within reach of its place. Returns the
+    pruned panel and the removed markers with the kept one that removed them
+    (marker_id, kept_id).
     """
-    linked = pair_r2(marker_pairs(panel, window)).filter(F.col("r2") >= least).select("chrom", "id1", "pos1", "id2", "pos2")
-
-    def choose(pdf):
-        import pandas as pd
-
-        order = sorted({(p, i) for p, i in zip(pdf.pos1, pdf.id1)} | {(p, i) for p, i in zip(pdf.pos2, pdf.id2)}, reverse=True)
-        earlier: dict[int, list[int]] = {}
-        for a, b in zip(pdf.id1, pdf.id2):
-            earlier.setdefault(b, []).append(a)
-        gone: set[int] = set()
-        for _, i in order:
-            if i not in gone:
-                gone.update(earlier.get(i, ()))
-        return pd.DataFrame({"marker_id": sorted(gone)}, dtype="int64")
-
-    gone = linked.groupBy("chrom").applyInPandas(choose, "marker_id long")
+    linked = pair_r2(marker_pairs(panel, window)).filter(F.col("r2") >= least).select(F.col("chrom").cast("int").alias("chrom"), "pos1", "id1", "pos2", "id2")
+    down = linked.repartition("chrom").sortWithinPartitions("chrom", *[F.col(x).desc() for x in ("pos2", "id2", "pos1", "id1")])
+    gone = down.mapInArrow(_greedy, "marker_id long, kept_id long")
     return panel.with_markers(panel.markers.join(gone, "marker_id", "left_anti")), gone
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +84,45 @@ def maf(data_format: str = "binary", calls: Column | str = "calls") -> Column:
 def marker_stats(panel: Panel, *more: str) -> DataFrame:
     """marker_id, more columns of the markers, chrom, pos, n_typed, n_missing, missing_rate, n_alleles, mean, mac, maf."""
     f = panel.data_format
+    if f in ("binary", "diploid_int"):
+        return _small_stats(panel, more)
     return panel.markers.select(
         "marker_id", *more, "chrom", "pos", n_typed().alias("n_typed"), n_missing().alias("n_missing"), missing_rate().alias("missing_rate"),
         F.size(alleles()).alias("n_alleles"), (mean_call() if f != "nucleotides" else F.lit(None).cast("double")).alias("mean"), mac(f).alias("mac"), maf(f).alias("maf"),
     )
 
 
+def _small_stats(panel: Panel, more: tuple[str, ...]) -> DataFrame:
+    """marker_stats of calls 0, 1 and 2, counted once per batch of markers."""
+    diploid = panel.data_format == "diploid_int"
+    given = panel.markers.select("marker_id", *more, "chrom", "pos", F.col("calls").cast("array<tinyint>").alias("calls"))
+    added = ["n_typed int", "n_missing int", "missing_rate double", "n_alleles int", "mean double", "mac double", "maf double"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("calls")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)
+            flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            n = np.bincount(row[flat >= 0], minlength=b.num_rows)
+            kinds = np.stack([np.bincount(row[flat == v], minlength=b.num_rows) for v in range(int(flat.max(initial=0)) + 1)])
+            total = (kinds * np.arange(len(kinds))[:, None]).sum(axis=0)
+            present = (kinds > 0).sum(axis=0)
+            if diploid:
+                three = np.vstack([kinds, np.zeros((3, b.num_rows), np.int64)])
+                minor = np.minimum(three[0], three[2]) + three[1] / 2
+            else:
+                minor = np.where(present > 1, np.where(kinds > 0, kinds, np.iinfo(np.int64).max).min(axis=0), 0).astype(float)
+            share = lambda x, y: pa.array(np.divide(x, np.maximum(y, 1)), mask=y == 0)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(n, pa.int32()), pa.array(size - n, pa.int32()), share(size - n, size), pa.array(present, pa.int32()), share(total, n), pa.array(minor), share(minor, n)],
+                names=[*b.schema.names[:-1], *[a.split()[0] for a in added]],
+            )
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{fields}, {', '.join(added)}")
+
+
 def individual_missing(panel: Panel) -> DataFrame:
     """idx, n_markers, n_missing, missing_rate per individual: summed per partition, then over partitions."""
     g = panel.long().groupBy("idx").agg(F.count("*").alias("n_markers"), F.count_if(F.col("g").isNull()).alias("n_missing"))

@@ -7,10 +7,13 @@ exact bounds kept as a condition. Only bins, not chromosomes, end up together.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import Along
+from .orderstats import Ordered
 
 
 def range_join(points: DataFrame, intervals: DataFrame, low: str, high: str, width: int = 100_000, how: str = "inner") -> DataFrame:
@@ -79,35 +82,68 @@ def regions(hits: DataFrame, radius: int = 20_000, tie: str = "row_id") -> DataF
     return out.select("chrom", (F.col("lo") - radius).alias("start_pos"), (F.col("hi") + radius).alias("end_pos"), "n_hits")
 
 
+def _outermost(results: DataFrame, order: list[Column], width: int) -> DataFrame:
+    """Hits that, in rank order, lie outside of all better hits of their cell of ``width`` bases.
+
+    Any other hit lies between two better ones that are at most width apart, so
+    a padding of half a width already covers it.
+    """
+    w = Window.partitionBy("chrom", F.floor(F.col("pos") / max(width, 1))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = results.withColumn("_lo", F.min("pos").over(w)).withColumn("_hi", F.max("pos").over(w))
+    return seen.filter(F.col("_lo").isNull() | (F.col("pos") < F.col("_lo")) | (F.col("pos") > F.col("_hi"))).drop("_lo", "_hi")
+
+
 def top_regions(results: DataFrame, n: int, distance: int = 25_000, ascending: bool = True) -> DataFrame:
     """Regions around the best hits, merged where they overlap, as soon as n of them exist.
 
     Hits are taken in rank order and each adds +-distance, clipped to the
-    chromosome; overlapping regions merge. The number of hits that leads to n
-    regions is found by doubling a top-k query; the driver only sees those hits.
+    chromosome; overlapping regions merge. Where a short list of the best hits
+    doesn't give n regions, the list grows, but only hits that widen the hits of
+    their neighbourhood come to the driver.
     """
-    ends = {r.chrom: r.end for r in results.groupBy("chrom").agg(F.max("pos").alias("end")).collect()}
-    order = [F.col("score").asc_nulls_last() if ascending else F.col("score").desc_nulls_last(), "row_id"]
-    total, k = results.count(), max(16, 4 * n)
-    while True:
-        hits = results.filter(F.col("score").isNotNull()).orderBy(*order).limit(k).collect()
-        found: list[list[int]] = []
-        for h in hits:
-            lo, hi = max(0, h.pos - distance), min(ends[h.chrom], h.pos + distance)
-            touching = [r for r in found if r[0] == h.chrom and r[1] <= hi and lo <= r[2]]
-            merged = [h.chrom, min([lo, *(r[1] for r in touching)]), max([hi, *(r[2] for r in touching)])]
-            rest = [r for r in found if r not in touching]
-            if len(rest) + 1 > n:
-                break
-            found = [*rest, merged]
-            if len(found) == n:
+    ends = {r.chrom: r.end for r in results.groupBy("chrom").agg(F.max("pos").alias("end")).collect()}  # one row per chromosome
+    order = [F.col("score").asc() if ascending else F.col("score").desc(), F.col("row_id")]
+    usable = results.filter(F.col("score").isNotNull() & ~F.isnan("score")).select("row_id", "chrom", "pos", "score")
+    k = max(64, 8 * n)
+    best = usable.orderBy(*order).limit(k).collect()
+    found, done = _merge_regions(best, ends, n, distance)
+    if not done and len(best) == k:
+        ranked = Ordered(usable)
+        while True:
+            k *= 32
+            last = ranked.n - 1 if k >= ranked.n else k
+            edge = ranked.at([last if ascending else ranked.n - 1 - last])
+            edge = next(iter(edge.values()))
+            some = usable.filter(F.col("score") <= edge if ascending else F.col("score") >= edge)
+            found, done = _merge_regions(_outermost(some, order, distance).orderBy(*order).collect(), ends, n, distance)
+            if done or k >= ranked.n:
                 break
-        if len(found) >= n or k >= total:
-            break
-        k *= 4
     return results.sparkSession.createDataFrame([tuple(map(int, r)) for r in sorted(found)], "chrom int, start_pos long, end_pos long")
 
 
+def _merge_regions(hits: list, ends: dict, n: int, distance: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """Regions of hits in rank order until there are n; disjoint regions are kept sorted, so a hit looks at its neighbours only."""
+    per: dict[int, list[tuple[int, int]]] = {}
+    count = 0
+    for h in hits:
+        lo, hi = max(0, h.pos - distance), min(ends[h.chrom], h.pos + distance)
+        have = per.setdefault(h.chrom, [])
+        a = bisect_left(have, (lo, lo))
+        while a > 0 and have[a - 1][1] >= lo:
+            a -= 1
+        b = a
+        while b < len(have) and have[b][0] <= hi:
+            lo, hi = min(lo, have[b][0]), max(hi, have[b][1])
+            b += 1
+        if a == b and count == n:
+            break
+        count += 1 - (b - a)
+        have[a:b] = [(lo, hi)]
+        if count == n:
+            break
+    return [(c, lo, hi) for c, have in per.items() for lo, hi in have], count >= n
+
+
 def region_rows(results: DataFrame, chrom: int, start: int, end: int, buffer: int = 0) -> DataFrame:
     """Rows within [start - buffer, end + buffer] of a chromosome."""
     return results.filter((F.col("chrom") == chrom) & F.col("pos").between(start - buffer, end + buffer))

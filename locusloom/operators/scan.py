@@ -417,37 +417,47 @@ def log_likelihood(rss: float, n: int) -> float:
 # ------------------------------------------------------------- marker pairs
 
 
-def pair_scan(panel: Panel, y, max_markers: int = 2000, block: int = 64) -> DataFrame:
-    """All pairs of binary markers: number of haplotypes and F-tests of the nested models.
+_PAIR_COLUMNS = ["rss_single", "rss_additive", "rss_interaction", "rss_full"] + [f"{k}_{m}" for m in ("single", "additive", "interaction", "full") for k in ("f", "p")] + ["var_perc"]
 
-    The output has m (m - 1) / 2 rows by definition, so the shortlist of markers is
+
+def pair_scan(panel: Panel, y, max_markers: int = 2000, block: int = 64, null: Null | None = None) -> DataFrame:
+    """All pairs of binary markers: haplotype counts and F-tests of the nested models; each marker with itself gives its own test.
+
+    The output has m (m + 1) / 2 rows by definition, so the shortlist of markers is
     limited, and a longer one is an error. Blocks of markers are paired, so a task
-    holds two blocks.
-    p_single: better single marker against the mean. p_additive: both markers
-    against the better one (with three haplotypes their classes). p_interaction:
-    the product with the better marker. p_full: all classes against the mean.
+    holds two blocks. Missing calls count as the marker's mean, and not as
+    haplotypes. null: the null model, by default the mean of y.
+    single: better single marker against the null model. additive: both markers
+    against the better one. interaction: the product with the better marker.
+    full: both and their product against the null model. var_perc: share of the
+    null model's rss that the full one takes. n00..n11: haplotypes of marker1, marker2.
     """
     m = panel.markers.select("marker_id", "calls").orderBy("chrom", "pos", "marker_id").limit(max_markers + 1).collect()
     if len(m) > max_markers:
         raise ValueError(f"more than {max_markers} markers; make a shortlist first")
-    y = np.asarray(y, float)
     ids = np.array([r.marker_id for r in m])
-    g = np.array([[0 if v is None else v for v in r.calls] for r in m], float).reshape(len(m), -1)
-    shared = panel.spark.sparkContext.broadcast((ids, g, Null(y)))
+    typed = np.array([[-1 if v is None else v for v in r.calls] for r in m], np.int8).reshape(len(m), -1)
+    shared = panel.spark.sparkContext.broadcast((ids, typed, Null(y) if null is None else null))  # max_markers rows
     nb = -(-len(m) // block)
     tasks = panel.spark.range(nb * (nb + 1) // 2).repartition(max(1, nb * (nb + 1) // 2))
-    columns = ["marker1", "marker2", "n_haplotypes", "rss_single", "rss_additive", "rss_full", "p_single", "p_additive", "p_interaction", "p_full"]
+    counts = ["n00", "n01", "n10", "n11"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, g, null = shared.value
-        n = null.n
+        ids, typed, null = shared.value
+        known = np.where(typed < 0, np.nan, typed.astype(float))
+        with np.errstate(invalid="ignore"):
+            mean = np.nan_to_num(np.nansum(known, axis=1) / np.maximum((typed >= 0).sum(axis=1), 1))
+        g = np.where(typed < 0, mean[:, None], typed)
+        if null.rows is not None:
+            g, typed = g[:, null.rows], typed[:, null.rows]
+        df = null.n - null.p
         for b in batches:
             for t in b.column(0).to_pylist():
                 i = int((np.sqrt(8 * t + 1) - 1) // 2)
                 j = t - i * (i + 1) // 2
                 a, c = np.meshgrid(np.arange(i * block, min(len(ids), (i + 1) * block)), np.arange(j * block, min(len(ids), (j + 1) * block)), indexing="ij")
                 a, c = a.ravel(), c.ravel()
-                keep = c < a
+                keep = c <= a
                 a, c = a[keep], c[keep]
                 if not len(a):
                     continue
@@ -455,9 +465,10 @@ def pair_scan(panel: Panel, y, max_markers: int = 2000, block: int = 64) -> Data
                 px, pz = null.project(x), null.project(z)
                 fx, _, _ = _drop(px, null.r, x.sum(1))
                 fz, _, _ = _drop(pz, null.r, z.sum(1))
-                first = np.where((fx >= fz)[:, None], px, pz)
-                other = np.where((fx >= fz)[:, None], pz, px)
-                fall1, den1, ok1 = _drop(first, null.r, np.ones(len(a)))
+                better = (fx >= fz)[:, None]
+                first, other = np.where(better, px, pz), np.where(better, pz, px)
+                whole = np.ones(len(a))
+                fall1, den1, ok1 = _drop(first, null.r, whole)
                 unit = np.where(ok1[:, None], first / np.sqrt(den1)[:, None], 0.0)
 
                 def after(v, *basis):
@@ -466,22 +477,26 @@ def pair_scan(panel: Panel, y, max_markers: int = 2000, block: int = 64) -> Data
                     return v
 
                 add = after(other, unit)
-                fall2, den2, ok2 = _drop(add, null.r, np.ones(len(a)))
+                fall2, den2, ok2 = _drop(add, null.r, whole)
                 unit2 = np.where(ok2[:, None], add / np.sqrt(den2)[:, None], 0.0)
                 both = null.project(x * z)
-                falli, _, oki = _drop(after(both, unit), null.r, np.ones(len(a)))
-                fallf, _, okf = _drop(after(both, unit, unit2), null.r, np.ones(len(a)))
-                haps = np.stack([(2 * x + z == h).any(axis=1) for h in range(4)]).sum(0)
+                falli, _, oki = _drop(after(both, unit), null.r, whole)
+                fallf, _, okf = _drop(after(both, unit, unit2), null.r, whole)
                 base = np.full(len(a), null.rss0)
                 r1 = base - fall1
                 r2, ri, rf = r1 - fall2, r1 - falli, r1 - fall2 - fallf
-                _, p1 = _f(base, r1, ok1.astype(int), n - 2)
-                _, p2 = _f(r1, r2, ok2.astype(int), n - 3)
-                _, p3 = _f(r1, ri, oki.astype(int), n - 3)
+                tests = [_f(base, r1, ok1.astype(int), df - 1), _f(r1, r2, ok2.astype(int), df - 2), _f(r1, ri, oki.astype(int), df - 2)]
                 q = ok1.astype(int) + ok2 + okf
-                pf = np.ones(len(a))
+                full = np.zeros(len(a)), np.ones(len(a))
                 for d in np.unique(q):
-                    pf[q == d] = _f(base[q == d], rf[q == d], d, n - 1 - int(d))[1]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[c], ids[a], haps.astype(np.int32), r1, r2, rf, p1, p2, p3, pf)], names=columns)
-
-    return tasks.mapInArrow(run, "marker1 long, marker2 long, n_haplotypes int, " + ", ".join(f"{c} double" for c in columns[3:]))
+                    full[0][q == d], full[1][q == d] = _f(base[q == d], rf[q == d], d, df - int(d))
+                tests.append(full)
+                own = a == c
+                for f, p in tests[1:3]:
+                    f[own], p[own] = tests[0][0][own], tests[0][1][own]
+                haps = np.stack([((typed[c] == u) & (typed[a] == v)).sum(axis=1) for u in (0, 1) for v in (0, 1)])
+                stats = [r1, r2, ri, rf, *[v for t in tests for v in t], 1 - rf / null.rss0 if null.rss0 > 0 else np.zeros(len(a))]
+                columns = [ids[c], ids[a], (haps > 0).sum(axis=0).astype(np.int32), *haps.astype(np.int64), *stats]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["marker1", "marker2", "n_haplotypes", *counts, *_PAIR_COLUMNS])
+
+    return tasks.mapInArrow(run, "marker1 long, marker2 long, n_haplotypes int, " + ", ".join(f"{c} long" for c in counts) + ", " + ", ".join(f"{c} double" for c in _PAIR_COLUMNS))

@@ -161,11 +161,38 @@ def emmax_posteriors(spark: SparkSession, d: str) -> DataFrame:
     return scan.emmax(p, y, K.ibs_kinship(p), priors=pri)[0]
 
 
-@query()
+_PAIR_TESTS = (
+    A_SQL,
+    """s as (
+  select p.marker_id as marker1, q.marker_id as marker2, count(*)::double as n, sum(p.g)::double as z, sum(q.g)::double as x, sum(p.g * q.g)::double as w, sum(p.y) as y, sum(p.y * p.y) as yy,
+    sum(p.g * p.y) as zy, sum(q.g * p.y) as xy, sum(p.g * q.g * p.y) as wy
+  from a as p join a as q using (vec_id) where p.marker_id <= q.marker_id group by all
+), c as (  -- centred; the products of binary markers are known from their counts
+  select *, (n - x - z + w)::bigint as n00, (x - w)::bigint as n01, (z - w)::bigint as n10, w::bigint as n11, yy - y * y / n as rss0,
+    x - x * x / n as s_xx, z - z * z / n as s_zz, w - w * w / n as s_ww, w - x * z / n as s_xz, w - x * w / n as s_xw, w - z * w / n as s_zw, xy - x * y / n as s_xy, zy - z * y / n as s_zy, wy - w * y / n as s_wy from s
+), f as (
+  select *, s_xy ^ 2 / s_xx >= s_zy ^ 2 / s_zz as better from c
+), g as (
+  select *, case when better then s_xx else s_zz end as aa, case when better then s_zz else s_xx end as bb, s_xz as ab, case when better then s_xw else s_zw end as aw, case when better then s_zw else s_xw end as bw,
+    case when better then s_xy else s_zy end as ay, case when better then s_zy else s_xy end as by_ from f
+), h as (  -- without the better marker
+  select *, rss0 - ay ^ 2 / aa as r1, bb - ab ^ 2 / aa as b2, by_ - ab * ay / aa as y2, s_ww - aw ^ 2 / aa as w2, s_wy - aw * ay / aa as wy2, bw - ab * aw / aa as bw2 from g
+), r as (
+  select *, marker1 = marker2 as own, case when marker1 = marker2 then r1 else r1 - y2 ^ 2 / b2 end as r2, case when marker1 = marker2 then r1 else r1 - wy2 ^ 2 / w2 end as ri,
+    case when marker1 = marker2 then r1 else r1 - y2 ^ 2 / b2 - (wy2 - bw2 * y2 / b2) ^ 2 / (w2 - bw2 ^ 2 / b2) end as rf from h
+)""",
+)
+
+
+@query(with_sql(*_PAIR_TESTS) + f"""select marker1, marker2, n00, n01, n10, n11, {s('r1', 4)} as rss_single, {s('r2', 4)} as rss_additive, {s('ri', 4)} as rss_interaction, {s('rf', 4)} as rss_full,
+  {s('(rss0 / r1 - 1) * (n - 2)', 5)} as f_single, {s('case when own then (rss0 / r1 - 1) * (n - 2) else (r1 / r2 - 1) * (n - 3) end', 5)} as f_additive, {s('case when own then (rss0 / r1 - 1) * (n - 2) else (r1 / ri - 1) * (n - 3) end', 5)} as f_interaction,
+  {s('case when own then (rss0 / r1 - 1) * (n - 2) else (rss0 / rf - 1) * (n - 4) / 3 end', 5)} as f_full, {s('1 - rf / rss0')} as var_perc from r""")
 def pair_tests(spark: SparkSession, d: str) -> DataFrame:
     """Two-marker tests of all pairs."""
     p, y = panel_a(spark, d)
-    return scan.pair_scan(p, y)
+    rss, f = ["rss_single", "rss_additive", "rss_interaction", "rss_full"], ["f_single", "f_additive", "f_interaction", "f_full"]
+    out = scan.pair_scan(p, y).select("marker1", "marker2", "n00", "n01", "n10", "n11", *rss, *f, "var_perc")
+    return rounded(rounded(rounded(out, *rss, digits=4), *f, digits=5), "var_perc")
 
 
 @query()
@@ -241,7 +268,8 @@ def kinship_tree(spark: SparkSession, d: str) -> DataFrame:
     return frames.tree(spark, K.ibs_kinship(p), p.ids)
 
 
-@query()
+@query(with_sql(*_PAIRS_A) + f""", means as (select vec_id, avg(z) as mz from z where z is not null group by 1)
+select a.vec_id as i, b.vec_id as j, {s('sum(a.z * b.z) / count(*) - any_value(ma.mz) * any_value(mb.mz)')} as k from z as a join z as b using (marker_id) join means as ma on ma.vec_id = a.vec_id join means as mb on mb.vec_id = b.vec_id where a.z is not null group by all""")
 def marker_covariance(spark: SparkSession, d: str) -> DataFrame:
     p, _ = panel_a(spark, d)
     return _matrix(spark, K.marker_covariance(p), p)
@@ -372,10 +400,28 @@ def total_ehh(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ld.total_ehh(panel_a(spark, d)[0], 3000, 1000), "sum_ehh")
 
 
-@query()
+_PRUNE = (
+    A_SQL,
+    """l as (
+  select p.marker_id as id1, q.marker_id as id2 from a as p join a as q on q.vec_id = p.vec_id and q.chrom = p.chrom and q.pos > p.pos group by all having corr(p.g, q.g) ^ 2 >= 0.005
+), o as (select marker_id, chrom, row_number() over (partition by chrom order by pos desc) as k, coalesce((select list(id2) from l where id1 = marker_id), []) as later from (select distinct marker_id, chrom, pos from a)),
+walk as (
+  select chrom, k, [marker_id] as kept from o where k = 1
+  union all select o.chrom, o.k, case when len(list_intersect(o.later, walk.kept)) = 0 then list_append(walk.kept, o.marker_id) else walk.kept end from walk join o on o.chrom = walk.chrom and o.k = walk.k + 1
+), ends as (select chrom, arg_max(kept, k) as kept from walk group by 1)""",
+)
+
+
+@query("with recursive " + ",\n".join(_PRUNE) + "\nselect unnest(kept) as marker_id, chrom from ends")
 def prune_linked(spark: SparkSession, d: str) -> DataFrame:
-    """Markers left after pruning at r2 of 0.02."""
-    return ld.prune_linked(panel_a(spark, d)[0], 0.02, 16_000)[0].markers.select("marker_id", "chrom", "pos")
+    """Markers left after pruning at r2 of 0.005."""
+    return ld.prune_linked(panel_a(spark, d)[0], 0.005, 16_000)[0].markers.select("marker_id", "chrom")
+
+
+@query("with recursive " + ",\n".join(_PRUNE) + "\nselect o.marker_id, list_max(list_intersect(later, kept)) as kept_id from o join ends using (chrom) where not list_contains(kept, o.marker_id)")
+def prune_redundant(spark: SparkSession, d: str) -> DataFrame:
+    """The markers that pruning removes, each with the kept marker that made it redundant."""
+    return ld.prune_linked(panel_a(spark, d)[0], 0.005, 16_000)[1]
 
 
 # ----------------------------------------------------------- two panels
@@ -571,13 +617,26 @@ def hit_regions(spark: SparkSession, d: str) -> DataFrame:
     return regions.regions(results_d(spark, d).filter("score >= 0.8"), 20_000)
 
 
-@query()
+_TOP_REGIONS = (
+    D_SQL,
+    """o as (select *, row_number() over (order by score desc, row_id) as k, max(pos) over (partition by chrom) as end_pos from d),
+t as (select chrom, k, greatest(0, pos - 25000) as lo, least(end_pos, pos + 25000) as hi from o where k <= 200),
+cuts as (select unnest(range(1, 201)) as top),
+n as (select top, chrom, lo, hi, max(hi) over (partition by top, chrom order by lo, hi rows between unbounded preceding and 1 preceding) as reach from cuts join t on t.k <= top),
+i as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by top, chrom order by lo, hi rows unbounded preceding) as island from n),
+m as (select top, chrom, island, min(lo) as start_pos, max(hi) as end_pos from i group by all),
+first as (select min(top) as top from (select top from m group by top having count(*) = 10)),
+regions as (select chrom, start_pos::bigint as start_pos, end_pos::bigint as end_pos from m where top = (select top from first))""",
+)
+
+
+@query(with_sql(*_TOP_REGIONS) + "select * from regions")
 def top_regions(spark: SparkSession, d: str) -> DataFrame:
     """The ten first regions around the best hits."""
     return regions.top_regions(results_d(spark, d), 10, 25_000, ascending=False)
 
 
-@query()
+@query(with_sql(*_TOP_REGIONS) + "select row_id, d.chrom, pos, score, start_pos, end_pos from d join regions as g on g.chrom = d.chrom and pos between start_pos - 25000 and end_pos + 25000")
 def top_region_rows(spark: SparkSession, d: str) -> DataFrame:
     return regions.top_region_rows(results_d(spark, d), 10, 25_000, 25_000, ascending=False)
 
@@ -631,17 +690,22 @@ def interpolated_priors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panels.interpolated_priors(x, pts), "prior", digits=8)
 
 
-@query()
+@query(with_sql(D_SQL, E_SQL) + "select gene_id, chrom, start_pos, end_pos, ((row_number() over (partition by chrom order by start_pos, gene_id) - 1) % 5)::int as lane from genes")
 def gene_lanes(spark: SparkSession, d: str) -> DataFrame:
     return frames.gene_lanes(genes_e(spark, d))
 
 
-@query()
+@query(with_sql(D_SQL) + f"""select 'orders' as label, i::int as i, {s('i / 501 * 4')} as expected, {s('-log10(score)')} as observed
+  from (select unnest(range(1, 501)) as i) join (select score, row_number() over (order by score) - 1 as k, count(*) over () as n from d) on k = floor(pow(10.0, -(i / 501 * 4)) * n)::bigint""")
 def qq_frame(spark: SparkSession, d: str) -> DataFrame:
-    return frames.qq(results_d(spark, d), "orders", 500, 4, log=True)
+    return rounded(frames.qq(results_d(spark, d), "orders", 500, 4, log=True), "expected", "observed")
 
 
-@query()
+@query(with_sql(D_SQL) + """, off as (select chrom, coalesce(sum(e) over (order by chrom rows between unbounded preceding and 1 preceding), 0)::bigint as offset from (select chrom, max(pos) as e from d group by 1)),
+  h as (select row_id, chrom, pos, pos + "offset" as x, score as y from d join off using (chrom) where score > 0.85),
+  n as (select *, case when pos - lag(pos) over c > 100000 or lag(pos) over c is null then 1 else 0 end as new from h window c as (partition by chrom order by pos, row_id)),
+  i as (select *, sum(new) over (partition by chrom order by pos, row_id) as island from n)
+select chrom, row_id, pos, x, y from i qualify row_number() over (partition by chrom, island order by y desc, pos) = 1""")
 def star_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the highest points in runs of large scores."""
     m = frames.manhattan(results_d(spark, d), p_values=False, threshold=0.85)
@@ -844,10 +908,25 @@ def aligned_gwas(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.mixed_model_gwas(p, t, 1)[0]
 
 
-@query()
+_QUALITY = (
+    B_SQL,
+    """ind as (select idx from bm group by 1 having count(g) >= count(*) * 0.5),
+m0 as (select marker_id from bm join ind using (idx) group by 1
+  having count(*) - count(g) <= 0.2 * count(*) and (least(count(*) filter (g = 0), count(*) filter (g = 2)) + count(*) filter (g = 1) / 2) / nullif(count(g), 0) >= 0.05),
+z as (select idx, marker_id, coalesce((g - avg(g) over m) / nullif(stddev_pop(g) over m, 0), 0) as z, stddev_pop(g) over m > 0 as varies from bm join ind using (idx) join m0 using (marker_id) window m as (partition by marker_id)),
+kin as (select p.idx as i, q.idx as j, sum(p.z * q.z) / count(*) as k from z as p join z as q using (marker_id) where p.varies group by all)""",
+)
+
+
+@query(with_sql(*_QUALITY) + f""", f as (select (count(distinct i) - 1) / (sum(k) filter (i = j) - sum(k) / count(distinct i)) as f from kin),
+  gone as (select distinct i as idx from kin, f where i < j and k * f > 0.8),
+  m as (select marker_id, chrom, pos, count(*) as n, count(g) as n_typed, avg(g) as mean, (least(count(*) filter (g = 0), count(*) filter (g = 2)) + count(*) filter (g = 1) / 2) / nullif(count(g), 0) as maf
+    from bm join ind using (idx) join m0 using (marker_id) where idx not in (select idx from gone) group by all)
+select marker_id, chrom, pos, n::int as n_typed, {s('mean', 5)} as mean, {s('least(mean, 2 - mean) * n', 3)} as mac from m where maf >= 0.05""")
 def quality_control(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of the markers that pass missingness, frequency and relatedness filters."""
-    return markers.marker_stats(pipelines.quality_control(panel_b(spark, d, gaps=True)[0], max_marker_missing=0.2, min_maf=0.05))
+    """Statistics of the markers that pass missingness, frequency and relatedness filters, gaps filled with means."""
+    x = markers.marker_stats(pipelines.quality_control(panel_b(spark, d, gaps=True)[0], max_marker_missing=0.2, min_maf=0.05))
+    return x.select("marker_id", "chrom", "pos", "n_typed", r("mean", 5).alias("mean"), r("mac", 3).alias("mac"))
 
 
 @query()

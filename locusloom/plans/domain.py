@@ -11,7 +11,7 @@ from ..operators.references import clean_key
 from ..panel import Panel
 from ..session import table
 from .association import r, rounded, s
-from .preparation import _key_sql
+from .preparation import _P2_CTES, _key_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,11 +71,11 @@ def stored_chip_missing(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("missing_rate", r(F.col("n_missing") / F.col("n_markers")))
 
 
-@query()
+@query(_P2_CTES + f" select marker_id, {s('avg(v)')} as mean, (count(*) - count(v))::int as n_missing from calls group by 1")
 def stored_filled_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Frequency of the second allele per marker after filling."""
     f = fill_calls(table(spark, d, "genot_data"))
-    return f.select("marker_id", markers.mean_call().alias("mean"), markers.n_missing().alias("n_missing"))
+    return f.select("marker_id", r(markers.mean_call()).alias("mean"), markers.n_missing().alias("n_missing"))
 
 
 _PHEN = f"""with p as (select phenotype_id as phen_id, {_key_sql('ecotype_id')} as indiv_id, phen_value as value from phenotypes where phen_value is not null and not isnan(phen_value)),
@@ -148,7 +148,9 @@ def scan_replication(spark: SparkSession, d: str) -> DataFrame:
     return regions.count_nearby(small, hits, 20_000)
 
 
-@query()
+@query(_CALLS + f""", x as (select marker_id, count(distinct v) as n_alleles, avg(v) as mean from g group by 1), p as (select marker_id, any_value(pos) as pos from genot_data group by 1)
+select marker_id, chrom, pos, call_batch, data_format, n_typed::int as n_typed, n_missing::int as n_missing, {s('n_missing / (n_typed + n_missing)')} as missing_rate, n_alleles::int as n_alleles, {s('mean')} as mean, mac::double as mac, {s('mac / nullif(n_typed, 0)')} as maf
+from st join x using (marker_id) join p using (marker_id)""")
 def stored_panel(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every stored marker with calls, those of each batch and format as a panel."""
     x = stored_calls(spark, d)
@@ -156,4 +158,5 @@ def stored_panel(spark: SparkSession, d: str) -> DataFrame:
     ids = [str(k) for k in range(80)]
     # batches of a format differ in their individuals only, on which these statistics don't depend, so one pass serves them all
     one = lambda rows, f: markers.marker_stats(Panel(rows, ids, f), "call_batch", "data_format")
-    return one(x.filter(diploid), "diploid_int").unionByName(one(x.filter(~diploid), "binary"))
+    out = one(x.filter(diploid), "diploid_int").unionByName(one(x.filter(~diploid), "binary"))
+    return rounded(out.withColumn("mac", F.col("mac").cast("double")), "missing_rate", "mean", "maf")

@@ -166,16 +166,35 @@ def read_ped(spark: SparkSession, prefix: str, only_biallelic: bool = True) -> t
     return Panel(markers, people, "diploid_int"), info
 
 
+def _tped_fields(spark: SparkSession, prefix: str, n: int) -> DataFrame:
+    """Numbered TPED lines with their fields and why a line can't be taken."""
+    f = numbered_lines(spark, f"{prefix}.tped").withColumn("f", fields("blanks"))
+    e = lambda i: F.try_element_at("f", F.lit(i))
+    bad = F.exists(F.slice("f", 5, 2 * n), lambda x: ~x.isin("0", "1", "2"))
+    reason = (
+        F.when(F.length(F.trim("value")) == 0, "empty_line").when(F.size("f") != 4 + 2 * n, "field_count").when(e(1).try_cast("int").isNull(), "chromosome")
+        .when(e(4).try_cast("long").isNull(), "position").when(bad, "allele")
+    )
+    return f.withColumn("reason", reason)
+
+
+def rejected_tped(spark: SparkSession, prefix: str) -> DataFrame:
+    """(line_no, value, reason) of the lines read_tped leaves out."""
+    n = read_fam(spark, f"{prefix}.tfam").count()
+    return _tped_fields(spark, prefix, n).filter(F.col("reason").isNotNull()).select("line_no", "value", "reason")
+
+
 def read_tped(spark: SparkSession, prefix: str, impute: str | None = "simple", bim: bool = False) -> tuple[Panel, DataFrame]:
     """TPED (alleles 1 and 2, 0 missing) with TFAM: dosages of allele 2, and the individuals.
 
     impute: ``simple`` rounded mean, ``mode`` the most frequent call, None keeps
-    gaps. bim: take snp ids and alleles from a BIM file.
+    gaps. bim: take snp ids and alleles from a BIM file. Lines that can't be
+    taken are those of rejected_tped.
     """
     people = read_fam(spark, f"{prefix}.tfam")
     ids = [r.indiv_id for r in people.orderBy("idx").collect()]
     n = len(ids)
-    f = numbered_lines(spark, f"{prefix}.tped").filter(F.length(F.trim("value")) > 0).withColumn("f", fields("blanks")).filter(F.size("f") == 4 + 2 * n)
+    f = _tped_fields(spark, prefix, n).filter(F.col("reason").isNull())
     alleles = F.transform(F.slice("f", 5, 2 * n), lambda x: x.cast("tinyint"))
     calls = in_pairs(alleles, lambda x, y: F.when((x > 0) & (y > 0), (x + y - 2).cast("tinyint")))
     e = lambda i: F.element_at("f", i)
@@ -202,8 +221,26 @@ def read_plink12(spark: SparkSession, prefix: str, impute: str | None = "mode",
     return drop_unusable(panel, missing_threshold, impute, drop_monomorphic, drop_zero_position=True), people
 
 
+def _geno_fields(spark: SparkSession, prefix: str, n: int) -> DataFrame:
+    """Numbered .geno lines with their calls and why a line can't be taken."""
+    text = F.trim(F.regexp_replace("value", r"\r$", ""))
+    digits = F.filter(F.split(text, ""), lambda x: x != "")
+    calls = F.transform(digits, lambda x: F.when(x.isin("0", "1", "2"), x.cast("tinyint")))
+    reason = F.when(F.length(text) == 0, "empty_line").when(F.length(text) != n, "call_count").when(~text.rlike("^[0-29]*$"), "call")
+    return numbered_lines(spark, f"{prefix}.geno").select(F.col("line_no").alias("marker_id"), "value", calls.alias("calls"), reason.alias("reason"))
+
+
+def rejected_geno(spark: SparkSession, prefix: str) -> DataFrame:
+    """(line_no, value, reason) of the .geno lines read_eigenstrat leaves out."""
+    n = numbered_lines(spark, f"{prefix}.ind").filter(F.length(F.trim("value")) > 0).count()
+    return _geno_fields(spark, prefix, n).filter(F.col("reason").isNotNull()).select(F.col("marker_id").alias("line_no"), "value", "reason")
+
+
 def read_eigenstrat(spark: SparkSession, prefix: str, impute: str | None = "mode", drop_monomorphic: bool = True, missing_threshold: float = 0.1) -> tuple[Panel, DataFrame]:
-    """EIGENSTRAT .ind, .snp and .geno (one digit per person, 9 missing) with the same quality control."""
+    """EIGENSTRAT .ind, .snp and .geno (one digit per person, 9 missing) with the same quality control.
+
+    Lines that can't be taken are those of rejected_geno.
+    """
     e = lambda i: F.element_at("f", i)
     ind = numbered_lines(spark, f"{prefix}.ind").filter(F.length(F.trim("value")) > 0).withColumn("f", fields("blanks"))
     people = ind.select(F.col("line_no").cast("int").alias("idx"), e(1).alias("indiv_id"), F.when(e(2) == "M", 1).when(e(2) == "F", 2).alias("sex"), e(3).alias("phenotype"))
@@ -211,10 +248,8 @@ def read_eigenstrat(spark: SparkSession, prefix: str, impute: str | None = "mode
     snp = numbered_lines(spark, f"{prefix}.snp").filter(F.length(F.trim("value")) > 0).withColumn("f", fields("blanks"))
     t = lambda i: F.try_element_at("f", F.lit(i))
     snp = snp.select(F.col("line_no").alias("marker_id"), e(1).alias("snp_id"), e(2).cast("int").alias("chrom"), e(4).cast("long").alias("pos"), t(5).alias("a0"), t(6).alias("a1"))
-    geno = numbered_lines(spark, f"{prefix}.geno").filter(F.length(F.trim("value")) > 0)
-    digits = F.split(F.trim(F.regexp_replace("value", r"\r$", "")), "")
-    geno = geno.select(F.col("line_no").alias("marker_id"), F.transform(F.filter(digits, lambda x: x != ""), lambda x: F.when(x.isin("0", "1", "2"), x.cast("tinyint"))).alias("calls"))
-    panel = Panel(snp.join(geno.filter(F.size("calls") == len(ids)), "marker_id"), ids, "diploid_int")
+    geno = _geno_fields(spark, prefix, len(ids)).filter(F.col("reason").isNull()).select("marker_id", "calls")
+    panel = Panel(snp.join(geno, "marker_id"), ids, "diploid_int")
     return drop_unusable(panel, missing_threshold, impute, drop_monomorphic, drop_zero_position=False), people
 
 

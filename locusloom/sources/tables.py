@@ -98,12 +98,22 @@ _GENES = ("gene", "transposable_element_gene", "pseudogene", "transposable_eleme
 _RNAS = ("mRNA", "tRNA", "rRNA", "miRNA", "ncRNA", "snoRNA", "snRNA", "pseudogenic_transcript")
 
 
+def rejected_gff(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value, reason) of the lines read_gff leaves out; comments aren't among them."""
+    f = numbered_lines(spark, path).filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", r"\s+", 9))
+    e = lambda i: F.try_element_at("f", F.lit(i)).try_cast("long")
+    reason = F.when(F.length(F.trim("value")) == 0, "empty_line").when(F.size("f") != 9, "field_count").when(e(4).isNull() | e(5).isNull(), "position")
+    return f.select("line_no", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def read_gff(spark: SparkSession, path: str, descriptions: str | None = None, chrom: int | None = None, start: int | None = None, end: int | None = None, only_genes: bool = False) -> DataFrame:
     """Gene models: one row per gene with isoforms, their exons, coding parts, UTRs and protein, and transposon fragments.
 
-    A region keeps the genes that overlap it. Descriptions join by isoform.
+    A region keeps the genes that overlap it. Descriptions join by isoform. Lines
+    that can't be taken are those of rejected_gff.
     """
     f = numbered_lines(spark, path).filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", r"\s+", 9)).filter(F.size("f") == 9)
+    f = f.filter(F.element_at("f", 4).try_cast("long").isNotNull() & F.element_at("f", 5).try_cast("long").isNotNull())
     e = lambda i: F.element_at("f", i)
     attribute = lambda name: F.nullif(F.regexp_extract(F.element_at("f", 9), rf"(?:^|;)\s*{name}=([^;]*)", 1), F.lit(""))
     a = f.select(

@@ -9,27 +9,30 @@ _BITS = 33
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of one text file, from 0, without a sort or a single task.
+    """(line_no, value) of a text file, or of a folder's files in order of name, from 0, without a sort or a single task.
 
     Lines are numbered within each split; the offset of a split is the number of
     lines before it, of which there are as many as splits.
     """
-    df = spark.read.text(path).withColumn("_m", F.monotonically_increasing_id())
+    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
     df = df.withColumn("_p", F.shiftright("_m", _BITS)).withColumn("_k", F.col("_m").bitwiseAND((1 << _BITS) - 1))
-    counts = sorted((r._p, r.n) for r in df.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    splits = df.groupBy("_p", "_f", "_b").agg(F.count("*").alias("n"), F.min("_k").alias("k")).collect()  # one row per split
     offsets, total = [], 0
-    for p, n in counts:
-        offsets.append((p, total))
-        total += n
-    if len(offsets) <= 1:
-        return df.select(F.col("_k").alias("line_no"), "value")
-    table = spark.createDataFrame(offsets, "_p long, _o long")
-    return df.join(F.broadcast(table), "_p").select((F.col("_k") + F.col("_o")).alias("line_no"), "value")  # one row per split
+    for r in sorted(splits, key=lambda r: (r._f, r._b)):
+        offsets.append((r._p, r._f, r._b, total - r.k))
+        total += r.n
+    table = spark.createDataFrame(offsets, "_p long, _f string, _b long, _o long")
+    return df.join(F.broadcast(table), ["_p", "_f", "_b"]).select((F.col("_k") + F.col("_o")).alias("line_no"), "value")  # one row per split
 
 
 def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The first lines of a file."""
-    return [r.value.rstrip("\r") for r in spark.read.text(path).limit(n).collect()]
+    """The first lines of a file, or of a folder's files in order of name."""
+    out: list[str] = []
+    for f in sorted(spark.read.text(path).inputFiles()):
+        out += [r.value.rstrip("\r") for r in spark.read.text(f).limit(n - len(out)).collect()]
+        if len(out) >= n:
+            break
+    return out
 
 
 def fields(delim: str = ",") -> Column:

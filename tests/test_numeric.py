@@ -214,7 +214,8 @@ def test_pair_scan(spark):
     y = g[1] * g[2] + 0.3 * rng.normal(size=50)
     p = build_panel(spark, [(1, k + 1) for k in range(9)], g.tolist(), [str(k) for k in range(50)])
     rows = {(r.marker1, r.marker2): r for r in S.pair_scan(p, y, block=4).collect()}
-    assert len(rows) == 36
+    assert len(rows) == 45 and rows[3, 3].f_single == rows[3, 3].f_additive
+    assert (rows[1, 2].n11, rows[1, 2].n01) == (int((g[1] * g[2]).sum()), int(((1 - g[1]) * g[2]).sum()))
     r = rows[1, 2]
     cols = [np.ones(50), g[1], g[2], g[1] * g[2]]
     assert r.n_haplotypes == 4 and r.rss_full == pytest.approx(rss(np.column_stack(cols), y)) and r.rss_additive == pytest.approx(rss(np.column_stack(cols[:3]), y))
