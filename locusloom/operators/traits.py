@@ -12,10 +12,6 @@ from ..functions.dist import shapiro_wilk
 TRANSFORMS = ("none", "sqrt", "log", "sqr", "exp", "arcsin_sqrt", "ascombe", "box_cox", "most_normal")
 
 
-def _trait() -> Window:
-    return Window.partitionBy("phen_id")
-
-
 def phenotypes(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """From (phen_id, phen_name, indiv_id, value) on the driver."""
     df = spark.createDataFrame(rows, "phen_id int, phen_name string, indiv_id string, value double")
@@ -153,9 +149,10 @@ def incidence(phens: DataFrame, phen_id: int) -> DataFrame:
 # -------------------------------------------------------------- transformations
 
 
-def _shifted() -> Column:
-    v = F.col("value")
-    return v - F.min("value").over(_trait()) + 0.1 * F.stddev_pop("value").over(_trait())
+def _with_stats(phens: DataFrame) -> DataFrame:
+    """phens with _lo, _hi and _sd of each trait, which are aggregated and joined, since one trait may hold most rows."""
+    s = phens.groupBy("phen_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.stddev_pop("value").alias("_sd")).withColumnRenamed("phen_id", "_p")
+    return phens.join(s, phens["phen_id"].eqNullSafe(s["_p"])).drop("_p")
 
 
 def transform(phens: DataFrame, kind: str, method: str = "standard") -> DataFrame:
@@ -170,16 +167,16 @@ def transform(phens: DataFrame, kind: str, method: str = "standard") -> DataFram
         return phens
     if kind in ("box_cox", "most_normal"):
         return phens.groupBy("phen_id").applyInPandas(_chosen(kind, method), phens.schema)
-    x = _shifted() if method == "standard" else F.col("value")
+    x = F.col("value") - F.col("_lo") + 0.1 * F.col("_sd") if method == "standard" else F.col("value")
     value = {
         "log": lambda: F.log(x), "sqrt": lambda: F.sqrt(x), "sqr": lambda: x * x, "exp": lambda: F.exp(x),
         "ascombe": lambda: 2 * F.sqrt(F.col("value") + 0.375), "arcsin_sqrt": lambda: F.asin(F.sqrt(F.col("value"))),
     }[kind]()
     label = F.lit(kind)
     if kind == "arcsin_sqrt":
-        fits = (F.min("value").over(_trait()) >= 0) & (F.max("value").over(_trait()) <= 1)
+        fits = (F.col("_lo") >= 0) & (F.col("_hi") <= 1)
         value, label = F.when(fits, value).otherwise(F.col("value")), F.when(fits, label).otherwise(F.col("transformation"))
-    return phens.select(*[value.alias(c) if c == "value" else label.alias(c) if c == "transformation" else F.col(c) for c in phens.columns])
+    return _with_stats(phens).select(*[value.alias(c) if c == "value" else label.alias(c) if c == "transformation" else F.col(c) for c in phens.columns])
 
 
 def _candidates(v: np.ndarray, method: str, kinds: tuple[str, ...]) -> dict[str, np.ndarray]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import association, domain, mixed, preparation
+from . import association, details, domain, mixed, preparation
 
 FLAGSHIP = "lm_scan"
-_MODULES = [association, domain, mixed, preparation]
+_MODULES = [association, details, domain, mixed, preparation]
 
 
 def queries() -> dict:
