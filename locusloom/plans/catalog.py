@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import association, details, domain, mixed, preparation
+from . import association, details, domain, files, mixed, preparation
 
 FLAGSHIP = "lm_scan"
-_MODULES = [association, details, domain, mixed, preparation]
+_MODULES = [association, details, domain, files, mixed, preparation]
 
 
 def queries() -> dict:

@@ -66,7 +66,7 @@ def read_numeric(spark: SparkSession, path: str, data_format: str = "binary", de
 
     def call(x: Column) -> Column:
         v = F.when((x != missing) & ~x.isin(*_MISSING_TEXT), x.try_cast("double"))
-        return v.cast(kind) if data_format == "float" else F.when(v >= 0, v.cast(kind))
+        return v.cast(kind) if data_format == "float" else F.when(v >= 0, v.try_cast(kind))
 
     markers, ids = _matrix_file(spark, path, delim, call, keep, fraction, seed)
     return Panel(markers, ids, data_format)
