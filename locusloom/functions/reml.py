@@ -198,24 +198,30 @@ def search_ratio(value, grids: int = 5, rounds: int = 5, low: float = -3, high:
 class LocalAndRest:
     """ML likelihood of y ~ a K_rest + (1 - a) K_local + delta I with an intercept, both matrices scaled.
 
-    total: decomposition of the mean kinship of all ``m_total`` markers; local:
-    sum over the m local ones. The rest is the difference, so in the basis of the
-    total the covariance is a diagonal plus r columns, r the rank of the local
-    matrix: a likelihood costs n r^2, and no matrix of the rest is decomposed.
+    total: decomposition of the mean kinship of all ``m_total`` markers; root: n x
+    r with root root' the mean kinship of the m local ones. The rest is the
+    difference, so in the basis of the total the covariance is a diagonal plus r
+    columns: a likelihood costs n r^2, and neither the local matrix nor that of the
+    rest is formed or decomposed.
     """
 
-    def __init__(self, y: np.ndarray, total: Eigen, total_mean: np.ndarray, m_total: int, local: np.ndarray, m: int):
+    def __init__(self, y: np.ndarray, total: Eigen, total_mean: np.ndarray, m_total: int, root: np.ndarray, m: int):
         n = len(y)
-        mu, q = np.linalg.eigh(local / m)
-        keep = mu > 1e-10 * max(mu[-1], 1e-300)
         self.lam, self.n = total.values, n
-        self.b = total.vectors.T @ (q[:, keep] * np.sqrt(mu[keep]))
+        self.b = total.vectors.T @ root
         self.yx = total.vectors.T @ np.column_stack([y, np.ones(n)])
-        rest = (total_mean * m_total - local) / (m_total - m)
-        scale = lambda k: (n - 1) / (np.trace(k) - k.sum() / n)
-        self.s_local, self.s_rest = scale(local / m), scale(rest)
+        local = np.array([np.square(root).sum(), np.square(root.sum(axis=0)).sum()])  # trace and sum
+        rest = (np.array([np.trace(total_mean), total_mean.sum()]) * m_total - local * m) / (m_total - m)
+        self.s_local, self.s_rest = ((n - 1) / (trace - whole / n) for trace, whole in (local, rest))
         self.grow, self.shrink = m_total / (m_total - m), m / (m_total - m)
 
+    @staticmethod
+    def root_of(local_mean: np.ndarray) -> np.ndarray:
+        """The root of a local kinship of which only the matrix is known."""
+        mu, q = np.linalg.eigh(local_mean)
+        keep = mu > 1e-10 * max(mu[-1], 1e-300)
+        return q[:, keep] * np.sqrt(mu[keep])
+
     @property
     def rank(self) -> int:
         return self.b.shape[1]

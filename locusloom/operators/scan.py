@@ -128,14 +128,19 @@ def anova_scan(panel: Panel, null: Null, missing_class: bool = False) -> DataFra
         values = np.unique(g)
         fall, used = np.zeros(len(g)), np.zeros(len(g))
         basis: list[np.ndarray] = []
-        for v in values:  # indicators of one class after the other, each made orthogonal to those before
+        # indicators of one class after the other, each made orthogonal to those before; with an
+        # intercept the last one is what the others leave
+        whole = np.ones((1, g.shape[1]))
+        intercept = np.square(null.project(whole)).sum() < 1e-9 * (whole.sum() if null.w is None else np.square(whole @ null.w.T).sum())
+        for v in values[: len(values) - 1 if intercept else None]:
             raw = (g == v).astype(float)
             x = null.project(raw)
             for e in basis:
-                x = x - np.einsum("ij,ij->i", x, e)[:, None] * e
+                x -= np.einsum("ij,ij->i", x, e)[:, None] * e
             d, den, ok = _drop(x, null.r, raw.sum(axis=1))
             fall, used = fall + d, used + ok
-            basis.append(np.where(ok[:, None], x / np.sqrt(den)[:, None], 0.0))
+            if len(basis) + 1 < len(values) - intercept:
+                basis.append(np.where(ok[:, None], x / np.sqrt(den)[:, None], 0.0))
         rss = null.rss0 - fall
         f = np.zeros(len(g))
         p = np.ones(len(g))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf
 from ..functions.reml import Eigen, LocalAndRest, blup, fit, fit_two, likelihood_ratio, scale_k
 from ..panel import Panel
-from .kinship import Gram, gram_table, grams, reorder
+from .kinship import Gram, calls_matrix, features, gram_table, grams, reorder
 from .regions import range_join
 
 
@@ -121,9 +123,10 @@ def _against_rest(panel: Panel, sums: DataFrame, y, total: Gram) -> DataFrame:
                 row = {"grp": grp, "n_markers": m}
                 if 0 < m < total.m:
                     local = np.frombuffer(k).reshape(n, n)
-                    model = LocalAndRest(y, eig, total.mean(), total.m, local, m)
+                    root = LocalAndRest.root_of(local / m)
                     # beyond that rank a decomposition per ratio costs less than the rank's square per value
-                    row |= model.test() if model.rank <= max(16, n // 8) else local_against_global(y, local / m, (total.k - local) / (total.m - m))
+                    few = root.shape[1] <= max(16, n // 8)
+                    row |= LocalAndRest(y, eig, total.mean(), total.m, root, m).test() if few else local_against_global(y, local / m, (total.k - local) / (total.m - m))
                 else:
                     row |= dict.fromkeys(_RESULT, np.nan)
                 yield pd.DataFrame([row])
@@ -131,6 +134,60 @@ def _against_rest(panel: Panel, sums: DataFrame, y, total: Gram) -> DataFrame:
     return sums.select("grp", "m", "k").mapInPandas(run, "grp long, n_markers long, " + ", ".join(f"{c} double" for c in _RESULT))
 
 
+def _groups_against_rest(panel: Panel, y, total: Gram, method: str) -> DataFrame:
+    """The same for many small groups of markers (column _grp), as windows and genes are.
+
+    A group's markers come together and are used as columns; only a group of more
+    markers than that pays for is added up to a matrix, one at a time in a task.
+    """
+    n, fmt = panel.n, panel.data_format
+    most = max(16, n // 8)
+    shared = panel.spark.sparkContext.broadcast((np.asarray(y, float), total, Eigen.of(total.mean())))
+    fields = ["grp", "n_markers", *_RESULT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, total, eig = shared.value
+        mean = total.mean()
+
+        def tested(code: int, m: int, parts: list[np.ndarray], whole: np.ndarray | None, offset: float) -> pa.RecordBatch:
+            row = dict.fromkeys(_RESULT, float("nan"))
+            if 0 < m < total.m:
+                if whole is None:
+                    root = np.concatenate([*parts, np.full((1, n), np.sqrt(offset * m))] if offset else parts).T / np.sqrt(m)
+                    row = LocalAndRest(y, eig, mean, total.m, root, m).test()
+                else:
+                    row = local_against_global(y, whole / m, (total.k - whole) / (total.m - m))
+            return pa.RecordBatch.from_arrays([pa.array([code]), pa.array([m]), *[pa.array([row[c]], pa.float64()) for c in _RESULT]], fields)
+
+        code, m, parts, rows, whole, shift = None, 0, [], 0, None, 0.0
+        for b in batches:
+            groups = b.column("_grp").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else []
+            for a, e in zip(cuts[:-1], cuts[1:]):
+                if groups[a] != code:
+                    if code is not None:
+                        yield tested(code, m, parts, whole, shift)
+                    code, m, parts, rows, whole = int(groups[a]), 0, [], 0, None
+                x, scale, shift, used = features(calls_matrix(b.column("calls").slice(a, e - a), n), method, fmt)
+                m += int(used.sum())
+                x = np.sqrt(scale) * x
+                if whole is None and rows + len(x) <= most:
+                    parts.append(x)
+                    rows += len(x)
+                    continue
+                if whole is None:
+                    whole = sum((p.T @ p for p in parts), np.zeros((n, n))) + shift * (m - int(used.sum()))
+                    parts = []
+                whole += x.T @ x + shift * int(used.sum())
+        if code is not None:
+            yield tested(code, m, parts, whole, shift)
+
+    # a search per group is the work, not the bytes, so the number of tasks is fixed and not left to their size
+    tasks = max(int(panel.spark.conf.get("spark.sql.shuffle.partitions")), 2 * panel.spark.sparkContext.defaultParallelism)
+    markers = panel.markers.select("_grp", "calls").repartition(tasks, "_grp").sortWithinPartitions("_grp")
+    return markers.mapInArrow(run, "grp long, n_markers long, " + ", ".join(f"{c} double" for c in _RESULT))
+
+
 def _total(panel: Panel, method: str) -> Gram:
     parts = grams(panel, method)
     return parts[0]
@@ -150,8 +207,7 @@ def window_scan(panel: Panel, y, half_width: int = 500_000, step: int = 250_000,
     high = F.least(last, F.floor((F.col("pos") + half_width - F.col("_a")) / step))
     m = m.filter(low <= high).withColumn("w", F.explode(F.sequence(low, high)))
     m = m.withColumn("_grp", F.col("chrom").cast("long") * (1 << 40) + F.col("_a") + F.col("w") * step)
-    sums = gram_table(panel.with_markers(m), method, "_grp")
-    out = _against_rest(panel, sums, y, _total(panel, method))
+    out = _groups_against_rest(panel.with_markers(m), y, _total(panel, method), method)
     return out.select(F.shiftright("grp", 40).cast("int").alias("chrom"), F.col("grp").bitwiseAND((1 << 40) - 1).alias("centre"), "n_markers", *_RESULT)
 
 
@@ -159,7 +215,7 @@ def gene_scan(panel: Panel, y, genes: DataFrame, radius: int = 20_000, method: s
     """gene_id and the test of the markers within radius of it."""
     g = genes.select("gene_id", "chrom", (F.col("start_pos") - radius).alias("lo"), (F.col("end_pos") + radius).alias("hi")).withColumn("_grp", F.xxhash64("gene_id"))
     j = range_join(panel.markers.select("marker_id", "chrom", "pos", "calls"), g, "lo", "hi")
-    out = _against_rest(panel, gram_table(panel.with_markers(j), method, "_grp"), y, _total(panel, method))
+    out = _groups_against_rest(panel.with_markers(j), y, _total(panel, method), method)
     return out.join(g.select("gene_id", F.col("_grp").alias("grp")), "grp").select("gene_id", "n_markers", *_RESULT)
 
 

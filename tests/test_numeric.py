@@ -99,7 +99,7 @@ def test_low_rank_form_equals_dense_form():
     z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
     y = g[3] + rng.normal(size=50)
     total, local, m = z.T @ z, z[:7].T @ z[:7], 7
-    model = R.LocalAndRest(y, R.Eigen.of(total / 120), total / 120, 120, local, m)
+    model = R.LocalAndRest(y, R.Eigen.of(total / 120), total / 120, 120, R.LocalAndRest.root_of(local / m), m)
     k1, k2 = R.scale_k((total - local) / 113), R.scale_k(local / 7)
     for a, delta in ((1.0, 0.5), (0.4, 2.0), (0.05, 0.1)):
         v = a * k1 + (1 - a) * k2 + delta * np.eye(50)
