@@ -226,40 +226,40 @@ class LocalAndRest:
     def rank(self) -> int:
         return self.b.shape[1]
 
-    def ll(self, a: float, delta: float) -> float:
-        d = 1 / np.maximum(a * self.s_rest * self.grow * self.lam + delta, 1e-12)
+    def ll(self, a: float, delta) -> np.ndarray | float:
+        """Log-likelihood at one ratio and one or many deltas; -inf where the covariance isn't positive."""
+        deltas = np.atleast_1d(np.asarray(delta, float))
+        d = 1 / np.maximum(a * self.s_rest * self.grow * self.lam + deltas[:, None], 1e-12)
         beta = (1 - a) * self.s_local - a * self.s_rest * self.shrink
-        db = d[:, None] * self.b
-        inner = np.eye(self.rank) + beta * (self.b.T @ db)
-        sign, logdet = np.linalg.slogdet(inner)
-        if sign <= 0:
-            return -math.inf
-        z = db.T @ self.yx
-        g = self.yx.T @ (d[:, None] * self.yx) - beta * z.T @ np.linalg.solve(inner, z)
-        rss = g[0, 0] - g[0, 1] ** 2 / g[1, 1]
-        if rss <= 0:
-            return -math.inf
-        return 0.5 * (self.n * (math.log(self.n / (2 * math.pi)) - 1 - math.log(rss)) + float(np.log(d).sum()) - logdet)
-
-    def best_delta(self, a: float, grids: int = 25, low: float = -10, high: float = 10, rounds: int = 30) -> tuple[float, float]:
-        """(log-likelihood, delta) of the best delta: grid, then golden section around its best point."""
+        r, out = self.rank, np.full(len(deltas), -math.inf)
+        step = max(1, 4_000_000 // max(1, self.n * r))
+        for k in range(0, len(deltas), step):
+            w = d[k : k + step]
+            wb = w[:, :, None] * self.b
+            inner = np.eye(r) + beta * (self.b.T @ wb)
+            sign, logdet = np.linalg.slogdet(inner)
+            z = np.swapaxes(wb, 1, 2) @ self.yx
+            g = self.yx.T @ (w[:, :, None] * self.yx)
+            ok = sign > 0
+            if ok.any():
+                g[ok] -= beta * np.swapaxes(z[ok], 1, 2) @ np.linalg.solve(inner[ok], z[ok])
+            rss = g[:, 0, 0] - g[:, 0, 1] ** 2 / g[:, 1, 1]
+            ok &= rss > 0
+            out[k : k + step][ok] = 0.5 * (self.n * (math.log(self.n / (2 * math.pi)) - 1 - np.log(rss[ok])) + np.log(w[ok]).sum(axis=1) - logdet[ok])
+        return out if np.ndim(delta) else float(out[0])
+
+    def best_delta(self, a: float, grids: int = 25, low: float = -10, high: float = 10, rounds: int = 10, fine: int = 8) -> tuple[float, float]:
+        """(log-likelihood, delta) of the best delta: a grid over its logarithm, then finer grids around the best point."""
         x = np.linspace(low, high, grids + 1)
-        v = [self.ll(a, math.exp(t)) for t in x]
-        i = int(np.argmax(v))
-        lo, hi = x[max(i - 1, 0)], x[min(i + 1, grids)]
-        gold = (math.sqrt(5) - 1) / 2
-        c, e = hi - gold * (hi - lo), lo + gold * (hi - lo)
-        fc, fe = self.ll(a, math.exp(c)), self.ll(a, math.exp(e))
-        for _ in range(rounds):
-            if fc > fe:
-                hi, e, fe = e, c, fc
-                c = hi - gold * (hi - lo)
-                fc = self.ll(a, math.exp(c))
-            else:
-                lo, c, fc = c, e, fe
-                e = lo + gold * (hi - lo)
-                fe = self.ll(a, math.exp(e))
-        return max((v[i], math.exp(x[i])), (fc, math.exp(c)), (fe, math.exp(e)))
+        best, at, step = -math.inf, low, (high - low) / grids
+        for _ in range(rounds + 1):
+            v = self.ll(a, np.exp(x))
+            i = int(np.argmax(v))
+            if v[i] > best:
+                best, at = float(v[i]), float(x[i])
+            x = np.linspace(max(low, at - step), min(high, at + step), fine + 1)
+            step = (x[-1] - x[0]) / fine
+        return best, math.exp(at)
 
     def test(self) -> dict:
         """The likelihood-ratio test of the local matrix, and the shares of the variance."""
