@@ -195,18 +195,24 @@ def pair_tests(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(rounded(out, *rss, digits=4), *f, digits=5), "var_perc")
 
 
+def _steps(search: stepwise.Search) -> DataFrame:
+    out = search.table()
+    search.done()
+    return out
+
+
 @query()
 def stepwise_linear(spark: SparkSession, d: str) -> DataFrame:
     """Forward and backward linear search."""
     p, y = panel_a(spark, d)
-    return stepwise.stepwise_linear(p, y).table()
+    return _steps(stepwise.stepwise_linear(p, y))
 
 
 @query()
 def multi_locus(spark: SparkSession, d: str) -> DataFrame:
     """Multi-locus mixed model."""
     p, y = panel_a(spark, d)
-    return stepwise.multi_locus_mixed_model(p, y, K.ibs_kinship(p)).table()
+    return _steps(stepwise.multi_locus_mixed_model(p, y, K.ibs_kinship(p)))
 
 
 # ------------------------------------------------------------------ kinship

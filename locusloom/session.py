@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import glob
 import os
 import shutil
 import tempfile
@@ -28,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        where = os.path.join(tempfile.gettempdir(), f"locusloom-{os.getuid()}")
+        where = tempfile.mkdtemp(prefix="locusloom-shared-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
@@ -45,8 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a table an operator writes."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a table an operator writes; removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path or begins with it."""
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        for p in glob.glob(f"{glob.escape(local)}*"):
+            shutil.rmtree(p, ignore_errors=True)
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path + "*")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for s in fs.globStatus(at) or []:
+            fs.delete(s.getPath(), True)
+    except Exception:  # the session is gone, and with it the way to the folder
+        pass
 
 
 _SHIPPED: set[str] = set()
