@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -112,7 +114,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Ranks file of the public tokenizer that measures sizes.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = os.environ.get("LOCUSLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Chatty sources fade, long and edited ones come in.
 CURRICULUM = {
     "forum": [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)],
@@ -121,8 +123,8 @@ CURRICULUM = {
 }
 
 
-def _mixture(spark: SparkSession, d: str) -> Mixture:
-    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER, schedules=CURRICULUM)
+def _mixture(spark: SparkSession, d: str, tokenizer: str | None = None) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer or TOKENIZER, schedules=CURRICULUM)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
