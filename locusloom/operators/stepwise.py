@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import log_choose
 from ..functions.reml import Eigen, Fit, fit, scale_k
 from ..panel import Panel
+from .orderstats import Ordered, greatest_gap
 from .scan import Null, f_scan, log_likelihood, with_posteriors
 
 Locus = tuple[int, int]
@@ -39,6 +40,10 @@ class Step:
     cofactor_p: list[float] = field(default_factory=list)
     max_ppa: float | None = None
     scan: DataFrame | None = field(default=None, repr=False)
+    mahalanobis_rss: float | None = None
+    reml_mahalanobis_rss: float | None = None
+    pval_median: float | None = None
+    ks_stat: float | None = None
 
     @property
     def mbonf(self) -> float:
@@ -59,15 +64,17 @@ class Search:
 
     k: kinship for mixed models, None for linear ones. y: one value per panel
     individual. priors: (chrom, pos, prior); then choose_by may be ``ppa``.
+    distribution: also the median and the Kolmogorov-Smirnov distance of each
+    scan's p-values, which read the scan again.
     """
 
-    def __init__(self, panel: Panel, y, k: np.ndarray | None = None, max_steps: int = 10, choose_by: str = "p", priors: DataFrame | None = None, keep_scans: bool = False):
+    def __init__(self, panel: Panel, y, k: np.ndarray | None = None, max_steps: int = 10, choose_by: str = "p", priors: DataFrame | None = None, keep_scans: bool = False, distribution: bool = False):
         self.panel = panel.with_markers(panel.markers.persist())
         self.y = np.asarray(y, float)
         self.n = len(self.y)
         self.k = None if k is None else scale_k(np.asarray(k, float))
         self.eig_k = None if k is None else Eigen.of(self.k)
-        self.max_steps, self.choose_by, self.priors, self.keep_scans = max_steps, choose_by, priors, keep_scans
+        self.max_steps, self.choose_by, self.priors, self.keep_scans, self.distribution = max_steps, choose_by, priors, keep_scans, distribution
         self.n_markers = self.panel.markers.count()
         self.steps: list[Step] = []
         self._genotype: dict[Locus, np.ndarray] = {}
@@ -84,13 +91,15 @@ class Search:
     def _design(self, loci: list[Locus]) -> np.ndarray:
         return np.column_stack([np.ones(self.n), *[self._row(x) for x in loci]])
 
-    def _null(self, loci: list[Locus]) -> tuple[Null, Fit | None, float]:
+    def _null(self, loci: list[Locus]) -> tuple[Null, Fit | None, float, float]:
+        """Null model, its fit, and the likelihood and weighted residual sum of the ML fit."""
         x = self._design(loci)
         if self.k is None:
             null = Null(self.y, x)
-            return null, None, log_likelihood(null.rss0, self.n)
+            return null, None, log_likelihood(null.rss0, self.n), null.rss0
         f = fit(self.y, self.k, x, eig_k=self.eig_k)
-        return Null(self.y, x, f.whitener), f, fit(self.y, self.k, x, "ML", eig_k=self.eig_k).ll
+        ml = fit(self.y, self.k, x, "ML", eig_k=self.eig_k, whiten=False)
+        return Null(self.y, x, f.whitener), f, ml.ll, ml.rss
 
     def _cofactor_p(self, null: Null, loci: list[Locus]) -> list[tuple[float, float]]:
         """(p, F) of each cofactor given the others, under the model's whitening."""
@@ -110,7 +119,7 @@ class Search:
         return s if self.priors is None else with_posteriors(s, self.priors, self.n, null.rss0)
 
     def _step(self, action: str, loci: list[Locus], scan: bool = True) -> Step:
-        null, f, ll = self._null(loci)
+        null, f, ll, ml_rss = self._null(loci)
         params = len(loci) + 1 + (self.k is not None)
         bic, ebic, mbic = criteria(ll, self.n_markers, params, self.n)
         best, table = None, None
@@ -122,6 +131,11 @@ class Search:
             len(self.steps), action, list(loci), null.rss0, ll, bic, ebic, mbic, f.heritability if f else None, best.p_value if best else None,
             (best.chrom, best.pos) if best else None, [p for p, _ in self._cofactor_p(null, loci)], best.ppa if best and self.priors is not None else None, table if self.keep_scans else None,
         )
+        step.mahalanobis_rss, step.reml_mahalanobis_rss = ml_rss, null.rss0
+        if table is not None and self.distribution:
+            p = table.select(F.col("p_value").alias("score"))
+            half = Ordered(p)
+            step.pval_median, step.ks_stat = half.at([half.n // 2]).get(half.n // 2), greatest_gap(p, None)[0]
         self.steps.append(step)
         return step
 
@@ -139,7 +153,7 @@ class Search:
             if low >= 2:
                 break
         while backward and len(loci) > 1:
-            null, _, _ = self._null(loci)
+            null, *_ = self._null(loci)
             f = [x for _, x in self._cofactor_p(null, loci)]
             weakest = int(np.argmin(f))
             loci = loci[:weakest] + loci[weakest + 1 :]
@@ -174,11 +188,11 @@ class Search:
     def table(self) -> DataFrame:
         """The steps as a table."""
         rows = [
-            (s.number, s.action, len(s.cofactors) + 1 + (self.k is not None), *[None if v is None else float(v) for v in (s.ll, s.rss, s.bic, s.ebic, s.mbic, s.mbonf, s.heritability, s.min_p, s.max_ppa)],
+            (s.number, s.action, len(s.cofactors) + 1 + (self.k is not None), *[None if v is None else float(v) for v in (s.ll, s.rss, s.bic, s.ebic, s.mbic, s.mbonf, s.heritability, s.min_p, s.max_ppa, s.mahalanobis_rss, s.reml_mahalanobis_rss, s.pval_median, s.ks_stat)],
              [(c, p, float(-math.log10(max(v, 1e-323)))) for (c, p), v in zip(s.cofactors, s.cofactor_p)])
             for s in self.steps
         ]
-        ddl = "step int, action string, num_par int, ll double, rss double, bic double, ebic double, mbic double, mbonf double, pseudo_heritability double, min_p double, max_ppa double, cofactors array<struct<chrom int, pos long, neglog_p double>>"
+        ddl = "step int, action string, num_par int, ll double, rss double, bic double, ebic double, mbic double, mbonf double, pseudo_heritability double, min_p double, max_ppa double, mahalanobis_rss double, reml_mahalanobis_rss double, pval_median double, ks_stat double, cofactors array<struct<chrom int, pos long, neglog_p double>>"
         return self.panel.spark.createDataFrame(rows, ddl)
 
 
@@ -199,8 +213,8 @@ def multi_locus_mixed_model(panel: Panel, y, k: np.ndarray, max_steps: int = 10,
     return s
 
 
-def single_step(panel: Panel, y, cofactors: list[Locus], k: np.ndarray | None = None) -> tuple[Step, DataFrame]:
+def single_step(panel: Panel, y, cofactors: list[Locus], k: np.ndarray | None = None, **options) -> tuple[Step, DataFrame]:
     """One step of an interactive search: statistics given the cofactors, and the scan."""
-    s = Search(panel, y, k, keep_scans=True)
+    s = Search(panel, y, k, keep_scans=True, **options)
     step = s._step("given", cofactors)
     return step, step.scan

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kinship as K
-from ..operators import ld, markers, panels, ranking, regions, scan, traits
+from ..operators import ld, markers, panels, ranking, regions, scan, stepwise, traits
 from ..panel import Panel
 from ..session import table
 from . import frames
-from .association import _matrix, r, rounded, s
+from .association import _LM, _P, _matrix, r, rounded, s
 from .domain import _CALLS, stored_calls
 from .fixtures import A_SQL, B_SQL, C_SQL, D_SQL, E_SQL, loci_e, panel_a, panel_b, phenotypes_c, results_d, with_sql
 
@@ -329,6 +329,16 @@ def anova_missing_class(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scan.anova_scan(p, scan.Null(y), missing_class=True).select("marker_id", "n_classes", "f_stat"), "f_stat", digits=4)
 
 
+@query(with_sql(*_LM) + f"""select {s('rss0', 3)} as mahalanobis_rss, {s('max(case when k = m // 2 + 1 then p end)')} as pval_median, {s('max(greatest(k / m - p, p - (k - 1) / m))')} as ks_stat from (
+  select p, rss0, row_number() over (order by p) as k, count(*) over () as m from (select *, {_P} as p from lm)) group by rss0""".replace("group by rss0", "group by round(rss0, 3)").replace("select round(rss0, 3)", "select round(any_value(rss0), 3)"))
+def step_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Median and Kolmogorov-Smirnov distance of the p-values at the first step of a search, and its residual sum."""
+    p, y = panel_a(spark, d)
+    t = stepwise.single_step(p, y, [], distribution=True)[0]
+    out = spark.createDataFrame([(t.mahalanobis_rss, t.pval_median, t.ks_stat)], "mahalanobis_rss double, pval_median double, ks_stat double")
+    return rounded(rounded(out, "mahalanobis_rss", digits=3), "pval_median", "ks_stat")
+
+
 # ------------------------------------------------------------------- kinship
 
 _Z = (A_SQL, "z as (select vec_id, marker_id, chrom, pos, (g - avg(g) over m) / nullif(stddev_pop(g) over m, 0) as z from a window m as (partition by marker_id))")
