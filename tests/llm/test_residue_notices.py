@@ -1,8 +1,8 @@
 """Recall and precision on everyday notices that aren't taken from the test tables.
 
-The notices were written down from well-known public pages before the phrase and
-role tables were tuned. Only the even ones were looked at while tuning; the odd ones
-are held out and must reach the same figures.
+The notices were written down from well-known public pages, after the first role
+tables and before any tuning on them. Only misses of the even ones were read while
+tuning; the odd ones must reach the same bounds.
 """
 
 import pytest
