@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kinship as K
-from ..operators import ld, markers, panels, ranking, regions, scan, stepwise, traits
+from ..operators import ld, markers, panels, ranking, regions, scan, sparse, stepwise, traits
 from ..panel import Panel
 from ..session import table
 from . import frames
 from .association import _LM, _P, _matrix, r, rounded, s
 from .domain import _CALLS, stored_calls
-from .fixtures import A_SQL, B_SQL, C_SQL, D_SQL, E_SQL, loci_e, panel_a, panel_b, phenotypes_c, results_d, with_sql
+from .fixtures import A_SQL, B_SQL, C_SQL, D_SQL, E_SQL, loci_e, panel_a, panel_b, phenotypes_c, results_d, sparse_b, with_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -325,8 +325,8 @@ def nested_tests(spark: SparkSession, d: str) -> DataFrame:
   from (select marker_id, coalesce(g, -1) as g, count(*) as n, sum(y) as t, sum(y * y) as q from bm group by all) group by all)""")
 def anova_missing_class(spark: SparkSession, d: str) -> DataFrame:
     """Analysis of variance with missing calls as a class of their own."""
-    p, y = panel_b(spark, d, gaps=True)
-    return rounded(scan.anova_scan(p, scan.Null(y), missing_class=True).select("marker_id", "n_classes", "f_stat"), "f_stat", digits=4)
+    p, y = sparse_b(spark, d, gaps=True)
+    return rounded(sparse.anova_scan(p, scan.Null(y), missing_class=True).select("marker_id", "n_classes", "f_stat"), "f_stat", digits=4)
 
 
 @query(with_sql(*_LM) + f"""select {s('rss0', 3)} as mahalanobis_rss, {s('max(case when k = m // 2 + 1 then p end)')} as pval_median, {s('max(greatest(k / m - p, p - (k - 1) / m))')} as ks_stat from (
