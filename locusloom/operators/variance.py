@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf
-from ..functions.reml import Eigen, LocalAndRest, blup, fit, fit_two, likelihood_ratio, scale_k
+from ..functions.reml import Eigen, LocalAndRest, LowRank, blup, fit, fit_two, likelihood_ratio, scale_k
 from ..panel import Panel
 from .kinship import Gram, calls_matrix, features, gram_table, grams, reorder
 from .regions import range_join
 
 
-def trait_heritability(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataFrame:
-    """phen_id, n, heritability, p_value, vg, ve of every trait; replicates use the kinship of their individual."""
+def trait_heritability(phens: DataFrame, k: np.ndarray | LowRank, ids: list[str]) -> DataFrame:
+    """phen_id, n, heritability, p_value, vg, ve of every trait; replicates use the kinship of their individual.
+
+    A kinship of low rank costs a decomposition of its root, any other one of the
+    observations' matrix.
+    """
     shared = phens.sparkSession.sparkContext.broadcast((k, {x: i for i, x in enumerate(ids)}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -28,15 +32,19 @@ def trait_heritability(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataF
         pid = pdf["phen_id"].iloc[0]
         if len(y) < 3 or np.ptp(y) == 0:
             return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [np.nan], "p_value": [np.nan], "vg": [np.nan], "ve": [np.nan]})
-        zkz = scale_k(k[np.ix_(at, at)])
-        eig = Eigen.of(zkz)
-        f = fit(y, zkz, eig_k=eig, whiten=False)
-        return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [f.heritability], "p_value": [likelihood_ratio(y, zkz, eig)[1]], "vg": [f.vg], "ve": [f.ve]})
+        if isinstance(k, LowRank):
+            own = k.at(at).scaled()
+            f, p = own.fit(y), own.likelihood_ratio(y)[1]
+        else:
+            zkz = scale_k(k[np.ix_(at, at)])
+            eig = Eigen.of(zkz)
+            f, p = fit(y, zkz, eig_k=eig, whiten=False), likelihood_ratio(y, zkz, eig)[1]
+        return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [f.heritability], "p_value": [p], "vg": [f.vg], "ve": [f.ve]})
 
     return phens.select("phen_id", "indiv_id", "value").groupBy("phen_id").applyInPandas(run, "phen_id int, n long, heritability double, p_value double, vg double, ve double")
 
 
-def trait_blups(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataFrame:
+def trait_blups(phens: DataFrame, k: np.ndarray | LowRank, ids: list[str]) -> DataFrame:
     """phen_id, indiv_id, value, blup, residual."""
     shared = phens.sparkSession.sparkContext.broadcast((k, {x: i for i, x in enumerate(ids)}))
 
@@ -46,6 +54,9 @@ def trait_blups(phens: DataFrame, k: np.ndarray, ids: list[str]) -> DataFrame:
         at, y = _observations(pdf, place)
         if len(y) < 3 or np.ptp(y) == 0:
             u = np.zeros(len(y))
+        elif isinstance(k, LowRank):
+            own = k.at(at).scaled()
+            u = own.blup(y, own.fit(y).heritability)
         else:
             zkz = scale_k(k[np.ix_(at, at)])
             u = blup(y, zkz, fit(y, zkz, whiten=False).heritability)

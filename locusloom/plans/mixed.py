@@ -4,7 +4,8 @@ Individuals of one group (the last digit of their id) are taken as identical, th
 of different groups as unrelated: K = ZZ'. Then (K + delta I)^-1 acts on group sums
 only, so likelihoods, F-tests, variances and predictions are sums over groups, and
 the SQL finds the variance ratio as the zero of the likelihood's slope. The
-operators get the dense matrix and know nothing of its form.
+operators get the dense matrix and know nothing of its form, but for replicated
+traits, whose many individuals have their kinship as its root Z.
 """
 
 from __future__ import annotations
@@ -291,13 +292,13 @@ def _trait_sql(select: str) -> str:
     return with_sql(C_SQL.replace("c as (", "events_c as (", 1), _TRAIT_T.replace("from c group", "from events_c group"), *b.ctes) + select
 
 
-def _traits(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, list[str]]:
+def _traits(spark: SparkSession, d: str) -> tuple[DataFrame, reml.LowRank, list[str]]:
     """Least and greatest value of every individual as two replicates."""
     phens = phenotypes_c(spark, d).groupBy("phen_id", "indiv_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     shifted = phens.select("phen_id", "indiv_id", (F.explode(F.array("a", "b"))).alias("value")).withColumn("value", F.col("value") + 4 * (F.col("indiv_id").cast("long") % _GROUPS))
     ids = [x.indiv_id for x in phens.select("indiv_id").distinct().orderBy(F.col("indiv_id").cast("long")).collect()]  # the individuals
     group = np.array([int(x) % _GROUPS for x in ids])
-    return shifted, (group[:, None] == group).astype(float), ids
+    return shifted, reml.LowRank(np.eye(_GROUPS)[group]), ids
 
 
 @query(_trait_sql(f"select phen_id::int as phen_id, n::bigint as n, {s('1 / (1 + exp(x))', 5)} as heritability, {s('S_y_y / (n - 1)', 3)} as vg, {s('S_y_y / (n - 1) * exp(x)', 3)} as ve from w"))
