@@ -8,7 +8,10 @@ exact bounds kept as a condition. Only bins, not chromosomes, end up together.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +66,7 @@ def all_distances(results: DataFrame, loci: DataFrame, max_loci: int = 1000) ->
     """Every result row against every locus: chrom_distance and pos_distance.
 
     The output is by definition results x loci, so the list is limited: a longer
-    one is an error, never cut short.
+    one is an error, never cut short; summed_distances has no such limit.
     """
     n = loci.limit(max_loci + 1).count()
     if n > max_loci:
@@ -73,6 +76,51 @@ def all_distances(results: DataFrame, loci: DataFrame, max_loci: int = 1000) ->
     return out.withColumn("chrom_distance", F.abs(F.col("chrom") - F.col("locus_chrom"))).withColumn("pos_distance", F.abs(F.col("pos") - F.col("locus_pos")))
 
 
+def summed_distances(results: DataFrame, loci: DataFrame) -> DataFrame:
+    """locus_chrom, locus_pos, chrom_distance, pos_distance, n: distances of all results to a locus, summed per locus.
+
+    No pair is made. The loci cut an axis into stretches; the number and the sum of
+    the results in each give every locus its sum, so one pass over the results is
+    enough for a list of any length, a row per locus being held.
+    """
+    k = [(r.chrom, r.pos, r.n) for r in loci.groupBy("chrom", "pos").agg(F.count("*").alias("n")).collect()]  # the loci
+    axes = [np.unique(np.array([r[i] for r in k if r[i] is not None], np.int64)) for i in range(2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = ([np.zeros(len(a) + 1, np.int64) for a in axes] for _ in range(2))
+        rows = 0
+        for b in batches:
+            rows += b.num_rows
+            for i, a in enumerate(axes):
+                x = b.column(i).drop_null().to_numpy()
+                at = np.searchsorted(a, x)
+                np.add.at(n[i], at, 1)
+                np.add.at(sums[i], at, x)
+        yield pa.RecordBatch.from_pydict({"axis": [-1], "stretch": [0], "n": [rows], "total": [0]}, columns)
+        for i in range(2):
+            at = np.flatnonzero(n[i])
+            yield pa.RecordBatch.from_pydict({"axis": np.full(len(at), i), "stretch": at, "n": n[i][at], "total": sums[i][at]}, columns)
+
+    columns = pa.schema([(c, pa.int64()) for c in ("axis", "stretch", "n", "total")])
+    per = results.select(F.col("chrom").cast("long").alias("chrom"), F.col("pos").cast("long").alias("pos")).mapInArrow(run, "axis long, stretch long, n long, total long")
+    per = per.groupBy("axis", "stretch").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()  # two rows per locus
+    every = sum(r.n for r in per if r.axis == -1)
+    found: list[dict[int, int]] = []
+    for i, a in enumerate(axes):
+        here = {r.stretch: (r.n, int(r.total)) for r in per if r.axis == i}
+        n_all, total = (sum(x[j] for x in here.values()) for j in range(2))
+        below = below_sum = 0
+        found.append({})
+        for j, x in enumerate(a.tolist()):
+            m, t = here.get(j, (0, 0))
+            below, below_sum = below + m, below_sum + t
+            if n_all:
+                found[i][x] = x * below - below_sum + (total - below_sum) - x * (n_all - below)
+    times = lambda x, n: None if x is None else x * n
+    rows = [(c, x, times(found[0].get(c), n), times(found[1].get(x), n), every * n) for c, x, n in k] if every else []
+    return results.sparkSession.createDataFrame(rows, "locus_chrom int, locus_pos long, chrom_distance long, pos_distance long, n long")
+
+
 def regions(hits: DataFrame, radius: int = 20_000, tie: str = "row_id") -> DataFrame:
     """Runs of hits with gaps of at most radius: chrom, start_pos, end_pos padded by radius, n_hits."""
     a = Along(hits.select("chrom", "pos", tie), tie).lag({"prev": "pos"})

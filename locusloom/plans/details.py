@@ -257,9 +257,8 @@ def agreeing_markers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql(D_SQL, E_SQL) + ", k as (select chrom as locus_chrom, pos as locus_pos from loci) select locus_chrom, locus_pos, sum(abs(chrom - locus_chrom))::bigint as chrom_distance, sum(abs(pos - locus_pos))::bigint as pos_distance, count(*) as n from d, k group by all")
 def summed_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of all results to every locus of a short list, summed per locus."""
-    x = regions.all_distances(results_d(spark, d), loci_e(spark, d))
-    return x.groupBy("locus_chrom", "locus_pos").agg(F.sum(F.abs("chrom_distance")).cast("long").alias("chrom_distance"), F.sum(F.abs("pos_distance")).cast("long").alias("pos_distance"), F.count("*").alias("n"))
+    """Distances of all results to every locus, summed per locus."""
+    return regions.summed_distances(results_d(spark, d), loci_e(spark, d))
 
 
 @query(with_sql(D_SQL) + f"select (select row_id from d order by score desc, row_id limit 1) as best, (select row_id from d order by score, row_id limit 1) as least, count(*) as n_scores, {s('min(score)')} as min_score, {s('max(score)')} as max_score, (select sum(e) from (select max(pos) as e from d group by chrom))::bigint as genome_length from d")
