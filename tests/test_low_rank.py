@@ -24,7 +24,7 @@ def test_fits_as_dense(rank, method):
     np.testing.assert_allclose(low.blup(y, 0.4), reml.blup(y, k, 0.4), atol=1e-8)
 
 
-NAMES = ["block_heritability"]
+NAMES = ["block_heritability", "block_blups"]
 
 
 @pytest.mark.parametrize("name", NAMES)
