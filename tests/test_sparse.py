@@ -10,7 +10,10 @@ from locusloom.plans import catalog
 from locusloom.plans.fixtures import sparse_b
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
-NAMES = ["anova_missing_class"]
+NAMES = [
+    "anova_missing_class",
+    "filter_mac",
+]
 
 
 @pytest.fixture(scope="module")
