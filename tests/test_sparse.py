@@ -13,6 +13,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 NAMES = [
     "anova_missing_class",
     "filter_mac",
+    "filter_monomorphic",
 ]
 
 
