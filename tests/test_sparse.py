@@ -14,6 +14,7 @@ NAMES = [
     "anova_missing_class",
     "filter_mac",
     "filter_monomorphic",
+    "impute_rounded_mean",
 ]
 
 
