@@ -15,6 +15,7 @@ NAMES = [
     "filter_mac",
     "filter_monomorphic",
     "impute_rounded_mean",
+    "marker_stats",
 ]
 
 
