@@ -16,6 +16,7 @@ NAMES = [
     "filter_monomorphic",
     "impute_rounded_mean",
     "marker_stats",
+    "anova_scan",
 ]
 
 
