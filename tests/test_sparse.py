@@ -17,6 +17,7 @@ NAMES = [
     "impute_rounded_mean",
     "marker_stats",
     "anova_scan",
+    "diploid_kinship",
 ]
 
 
