@@ -18,6 +18,7 @@ NAMES = [
     "marker_stats",
     "anova_scan",
     "diploid_kinship",
+    "filter_maf",
 ]
 
 
