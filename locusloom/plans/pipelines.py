@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.reml import Fit
-from ..operators import simulate
-from ..operators.kinship import ibs_kinship, kinship, prune_related
-from ..operators.markers import filter_individuals_by_missing, filter_maf, filter_missing, impute_mean, pick_individuals
+from ..operators import markers, simulate, sparse
+from ..operators.kinship import ibs_kinship, kinship, prune_related, unrelated
+from ..operators.markers import filter_maf, impute_mean, pick_individuals
 from ..operators.panels import coordinate
 from ..operators.scan import Null, emmax, emmax_gxe, emmax_permutations, f_scan, permutation_threshold
 from ..operators.stepwise import Search, multi_locus_mixed_model
 from ..operators.traits import environment_summary, transform
 from ..operators.variance import cross_validated_blup, window_scan
-from ..panel import Panel
+from ..panel import Panel, SparsePanel
+from ..session import cut
 
 
 def as_results(scan: DataFrame) -> DataFrame:
@@ -56,13 +57,20 @@ def stored_gwas(panel: Panel, y, min_maf: float = 0.1, n_perm: int = 0, seed: in
     return as_results(scan), fit, threshold
 
 
-def quality_control(panel: Panel, max_individual_missing: float = 0.5, max_marker_missing: float = 0.05, min_maf: float = 0.1, max_relatedness: float | None = 0.8, exclude: list[str] = []) -> Panel:
-    """Individuals by missingness and list, markers by missingness, mean imputation, frequency, relatedness, frequency again."""
-    p = filter_individuals_by_missing(panel, max_individual_missing)
-    p = pick_individuals(p, [i for i, x in enumerate(p.ids) if x not in set(exclude)])
-    p = filter_maf(filter_missing(p, max_marker_missing), min_maf)
+def quality_control(panel: Panel | SparsePanel, max_individual_missing: float = 0.5, max_marker_missing: float = 0.05, min_maf: float = 0.1, max_relatedness: float | None = 0.8, exclude: list[str] = []) -> Panel:
+    """Individuals by missingness and list, markers by missingness, mean imputation, frequency, relatedness, frequency again.
+
+    A sparse panel gets its cells once only frequent markers are left.
+    """
+    m = sparse if isinstance(panel, SparsePanel) else markers
+    p = m.filter_individuals_by_missing(panel, max_individual_missing)
+    gone = set(exclude)
+    p = m.pick_individuals(p, [i for i, x in enumerate(p.ids) if x not in gone])
+    p = m.filter_maf(m.filter_missing(p, max_marker_missing), min_maf)
+    if isinstance(p, SparsePanel):
+        p = p.with_markers(cut(p.markers)).dense()
     if max_relatedness is not None:
-        p = filter_maf(pick_individuals(p, prune_related(kinship(p, "ibd"), max_relatedness)), min_maf)
+        p = filter_maf(pick_individuals(p, unrelated(p, "ibd", max_relatedness)), min_maf)
     return impute_mean(p)
 
 
