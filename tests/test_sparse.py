@@ -19,6 +19,7 @@ NAMES = [
     "anova_scan",
     "diploid_kinship",
     "filter_maf",
+    "frequency_bins",
     "individual_missing",
 ]
 
