@@ -21,6 +21,7 @@ NAMES = [
     "filter_maf",
     "frequency_bins",
     "individual_missing",
+    "only_biallelic",
 ]
 
 
