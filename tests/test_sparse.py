@@ -22,6 +22,7 @@ NAMES = [
     "frequency_bins",
     "individual_missing",
     "only_biallelic",
+    "filter_missing",
 ]
 
 
