@@ -23,6 +23,7 @@ NAMES = [
     "individual_missing",
     "only_biallelic",
     "filter_missing",
+    "impute_mode",
 ]
 
 
