@@ -169,9 +169,9 @@ def individual_choices(spark: SparkSession, d: str) -> DataFrame:
 @query(with_sql(B_SQL) + ", n as (select idx, 1 - count(g) / count(*) as rate from bm group by 1) select idx::varchar as indiv_id from n where rate <= (select avg(rate) from n)")
 def individuals_typed(spark: SparkSession, d: str) -> DataFrame:
     """Individuals with at most the mean missing rate."""
-    p, _ = panel_b(spark, d, gaps=True)
-    mean = markers.individual_missing(p).agg(F.avg("missing_rate")).first()[0]
-    return markers.filter_individuals_by_missing(p, mean).individuals().select("indiv_id")
+    p, _ = sparse_b(spark, d, gaps=True)
+    mean = sparse.individual_missing(p).agg(F.avg("missing_rate")).first()[0]
+    return sparse.filter_individuals_by_missing(p, mean).individuals().select("indiv_id")
 
 
 @query("select s_suppkey::varchar as indiv_id from supplier where s_nationkey in (3, 7)")

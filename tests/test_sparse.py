@@ -24,6 +24,7 @@ NAMES = [
     "only_biallelic",
     "filter_missing",
     "impute_mode",
+    "individuals_typed",
 ]
 
 
