@@ -96,3 +96,14 @@ def test_anova_agrees_with_dense_one(spark, odd, kind, missing_class):
     null = scan.Null(y, x, rows=rows)
     a, b = (np.array(_rows(x), float) for x in (sparse.anova_scan(p, null, missing_class), scan.anova_scan(p.dense(), null, missing_class)))
     np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
+
+
+@pytest.mark.parametrize("missing_class", [True, False])
+def test_sets_without_individuals(spark, odd, missing_class):
+    """Fewer individuals than sets."""
+    p, y = sparse_b(spark, odd[0], gaps=True)
+    few = [k for k in range(p.n) if p.sets[k] < 12]
+    p = sparse.pick_individuals(p, few)
+    null = scan.Null(y[few])
+    a, b = (np.array(_rows(x), float) for x in (sparse.anova_scan(p, null, missing_class), scan.anova_scan(p.dense(), null, missing_class)))
+    np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
