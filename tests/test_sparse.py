@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import same
 
-from locusloom.operators import markers, scan, sparse
+from locusloom.operators import kinship, markers, scan, sparse
 from locusloom.plans import catalog
 from locusloom.plans.fixtures import sparse_b
 
@@ -107,3 +107,42 @@ def test_sets_without_individuals(spark, odd, missing_class):
     null = scan.Null(y[few])
     a, b = (np.array(_rows(x), float) for x in (sparse.anova_scan(p, null, missing_class), scan.anova_scan(p.dense(), null, missing_class)))
     np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
+
+
+def _kin(spark, path, groups, each, parts):
+    """Suppliers of several groups that share no part, some without lines, and a part without any."""
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(k, float(rng.normal(0, 5000))) for k in range(groups * each + 7)], "s_suppkey long, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(k, k % 50) for k in range(groups * parts + 1)], "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    lines = [(int(k), int(k % groups + groups * rng.integers(each))) for k in rng.integers(0, groups * parts, 6 * groups * parts)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("most", [1, 16, 1024])
+@pytest.mark.parametrize("table", ["one group", "groups"])
+def test_emmax_anova_agrees_with_dense_one(spark, odd, tmp_path, short_batches, monkeypatch, table, most):
+    monkeypatch.setattr(sparse, "_BLOCK", most)
+    d = odd[0] if table == "one group" else _kin(spark, tmp_path, 5, 9, 12)
+    df = QUERIES["emmax_anova"](spark, d)
+    assert "calls" not in df._jdf.queryExecution().toString()
+    p, y = sparse_b(spark, d)
+    kin = sparse.kin_groups(p)
+    assert len(set(kin[kin >= 0])) == (1 if table == "one group" else 5)
+    dense = p.dense()
+    a, b = (np.array(_rows(x), float) for x in (df, scan.emmax_anova(dense, y, kinship.ibs_kinship(dense))[0]))
+    np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-8)
+
+
+def test_emmax_anova_many_individuals(spark, tmp_path):
+    """A matrix over these 30,007 individuals would take 7.2 GB."""
+    t = QUERIES["emmax_anova"](spark, _kin(spark, tmp_path, 2000, 15, 2)).toPandas()
+    assert len(t) == t["marker_id"].nunique() == 4001
+    assert t["n_classes"].between(1, 3).all() and (t["f_stat"] >= 0).all() and t["p_value"].between(0, 1).all()
+    np.testing.assert_allclose(t["rss"] / (1 - t["var_perc"]), (t["rss"] / (1 - t["var_perc"])).iloc[0])
+
+
+def test_missing_calls_have_no_kinship(spark, odd):
+    p, y = sparse_b(spark, odd[0], gaps=True)
+    with pytest.raises(ValueError, match="missing"):
+        sparse.emmax_anova(p, y)
