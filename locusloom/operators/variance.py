@@ -28,7 +28,7 @@ def trait_heritability(phens: DataFrame, k: np.ndarray | LowRank, ids: list[str]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k, place = shared.value
-        at, y = _observations(pdf, place)
+        _, at, y = _observations(pdf, place)
         pid = pdf["phen_id"].iloc[0]
         if len(y) < 3 or np.ptp(y) == 0:
             return pd.DataFrame({"phen_id": [pid], "n": [len(y)], "heritability": [np.nan], "p_value": [np.nan], "vg": [np.nan], "ve": [np.nan]})
@@ -50,8 +50,7 @@ def trait_blups(phens: DataFrame, k: np.ndarray | LowRank, ids: list[str]) -> Da
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k, place = shared.value
-        pdf = pdf[pdf["indiv_id"].isin(place.keys()) & pdf["value"].notna()].sort_values(["indiv_id", "value"])
-        at, y = _observations(pdf, place)
+        pdf, at, y = _observations(pdf, place)
         if len(y) < 3 or np.ptp(y) == 0:
             u = np.zeros(len(y))
         elif isinstance(k, LowRank):
@@ -65,10 +64,12 @@ def trait_blups(phens: DataFrame, k: np.ndarray | LowRank, ids: list[str]) -> Da
     return phens.select("phen_id", "indiv_id", "value").groupBy("phen_id").applyInPandas(run, "phen_id int, indiv_id string, value double, blup double, residual double")
 
 
-def _observations(pdf: pd.DataFrame, place: dict[str, int]) -> tuple[list[int], np.ndarray]:
-    ok = pdf["indiv_id"].isin(place.keys()) & pdf["value"].notna()
-    p = pdf[ok].sort_values(["indiv_id", "value"])
-    return [place[x] for x in p["indiv_id"]], p["value"].to_numpy(float)
+def _observations(pdf: pd.DataFrame, place: dict[str, int]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(rows of individuals in the kinship that have a value, their places, their values), by place and value."""
+    at, y = pdf["indiv_id"].map(place).to_numpy(float), pdf["value"].to_numpy(float)
+    rows = np.flatnonzero(~np.isnan(at) & ~np.isnan(y))
+    rows = rows[np.lexsort((y[rows], at[rows]))]
+    return pdf.iloc[rows], at[rows].astype(int), y[rows]
 
 
 def cross_validated_blup(spark, y, k: np.ndarray, n_folds: int = 5, n_repeats: int = 1, seed: int = 0) -> DataFrame:

@@ -294,9 +294,10 @@ def _trait_sql(select: str) -> str:
 
 def _traits(spark: SparkSession, d: str) -> tuple[DataFrame, reml.LowRank, list[str]]:
     """Least and greatest value of every individual as two replicates."""
-    phens = phenotypes_c(spark, d).groupBy("phen_id", "indiv_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    every = phenotypes_c(spark, d)
+    phens = every.groupBy("phen_id", "indiv_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     shifted = phens.select("phen_id", "indiv_id", (F.explode(F.array("a", "b"))).alias("value")).withColumn("value", F.col("value") + 4 * (F.col("indiv_id").cast("long") % _GROUPS))
-    ids = [x.indiv_id for x in phens.select("indiv_id").distinct().orderBy(F.col("indiv_id").cast("long")).collect()]  # the individuals
+    ids = sorted(every.select("indiv_id").distinct().toArrow().column("indiv_id").to_pylist(), key=int)  # the individuals
     group = np.array([int(x) % _GROUPS for x in ids])
     return shifted, reml.LowRank(np.eye(_GROUPS)[group]), ids
 

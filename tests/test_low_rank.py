@@ -6,7 +6,8 @@ import pytest
 from conftest import same
 
 from locusloom.functions import reml
-from locusloom.plans import catalog
+from locusloom.operators import variance
+from locusloom.plans import catalog, mixed
 
 
 @pytest.mark.parametrize("rank", [1, 4, 38, 40])
@@ -38,3 +39,27 @@ def test_many_individuals(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     same(catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.oracles()[name]).df())
+
+
+def test_individuals_without_a_sort(spark, data):
+    """The individuals' list takes one pass over the events, without aggregates and a sort that samples first."""
+    sc = spark.sparkContext
+    sc.setJobGroup("individuals", "individuals of the replicated traits")
+    try:
+        ids = mixed._traits(spark, data)[2]
+    finally:
+        sc.setJobGroup("other", "other")
+    assert ids == [str(k) for k in sorted(int(x) for x in set(ids))]
+    assert len(sc.statusTracker().getJobIdsForGroup("individuals")) <= 3
+
+
+def test_unknown_individuals_and_gaps(spark):
+    """Observations of individuals outside the kinship and those without a value are left out, whatever the order of the rows."""
+    rng = np.random.default_rng(4)
+    ids, root = [f"i{k}" for k in range(30)], np.eye(3)[np.arange(30) % 3]
+    rows = [(1, ids[k % 30], float(rng.normal(2 * (k % 3), 1))) for k in rng.permutation(60).tolist()] + [(1, "x", 1.0), (1, None, 2.0), (1, ids[0], None), (2, "x", 3.0)]
+    phens = spark.createDataFrame(rows, "phen_id int, indiv_id string, value double")
+    low, dense = (variance.trait_blups(phens, k, ids).toPandas().sort_values(["indiv_id", "value"], ignore_index=True) for k in (reml.LowRank(root), root @ root.T))
+    known = sorted(r[1:] for r in rows if r[1] in ids and r[2] is not None)
+    assert list(low[["indiv_id", "value"]].itertuples(index=False, name=None)) == known and set(low["phen_id"]) == {1}
+    np.testing.assert_allclose(low[["blup", "residual"]], dense[["blup", "residual"]], atol=1e-5)
